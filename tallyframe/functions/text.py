@@ -80,12 +80,17 @@ def padded_id(prefix: str | Column, number: str | Column, width: int = 4) -> Col
     return F.format_string(f"%s-%0{width}d", _c(prefix), _c(number))
 
 
+def fixed(col: str | Column, places: int = 0) -> Column:
+    """Fixed-point text; a tie goes to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(_c(col).cast("double"), places))
+
+
 def percent(col: str | Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", _c(col).cast("double") * 100)
+    return F.concat(fixed(_c(col).cast("double") * 100, places), F.lit("%"))
 
 
 def dollars(col: str | Column, places: int = 4, missing: str = "n/a") -> Column:
-    shown = F.format_string(f"$%.{places}f", _c(col))
+    shown = F.concat(F.lit("$"), fixed(col, places))
     return F.when(_c(col).isNull(), F.lit(missing)).otherwise(shown)
 
 

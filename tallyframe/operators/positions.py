@@ -82,7 +82,7 @@ def split_summary(df: DataFrame, strata: str, column: str = "split") -> DataFram
     return (
         df.groupBy(strata)
         .pivot(column, ["train", "eval"])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0, ["train", "eval"])
     )
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import dollars, percent
+from tallyframe.functions.text import dollars, fixed, percent
 
 
 def leaderboard(reports: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def leaderboard(reports: DataFrame) -> DataFrame:
         "predictor",
         percent("accuracy").alias("accuracy"),
         "n",
-        F.format_string("%.0f", "latency_ms.p50").alias("p50_ms"),
-        F.format_string("%.0f", "latency_ms.p95").alias("p95_ms"),
+        fixed("latency_ms.p50").alias("p50_ms"),
+        fixed("latency_ms.p95").alias("p95_ms"),
         dollars("cost_per_1k_usd", missing="n/a (no cost data)").alias("cost_per_1k"),
     )
 

@@ -1 +1,70 @@
-"""x"""
+"""Constraint checks on the star-schema tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyframe.operators import checks as c
+from tallyframe.plans.catalog.registry import query
+
+
+@query("c01_not_null", """
+    WITH x AS (SELECT e.*, s_suppkey FROM events e LEFT JOIN supplier ON s_suppkey = user_id)
+    SELECT 'events.user_id not null' AS rule, count(*) FILTER (user_id IS NULL) AS violations FROM x
+    UNION ALL SELECT 'events.s_suppkey not null', count(*) FILTER (s_suppkey IS NULL) FROM x""")
+def _c01(t):
+    agents = t["supplier"].select("s_suppkey")
+    joined = t["events"].join(agents, F.col("user_id") == F.col("s_suppkey"), "left")
+    return c.check_not_null(joined, ["user_id", "s_suppkey"], "events")
+
+
+@query("c02_domain", """
+    SELECT 'orders.o_orderstatus in domain' AS rule,
+           count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS violations FROM orders""")
+def _c02(t):
+    return c.check_domain(t["orders"], "o_orderstatus", ["O", "F"], "orders")
+
+
+@query("c03_range", """
+    SELECT 'lineitem.l_linenumber in range' AS rule,
+           count(*) FILTER (l_linenumber NOT BETWEEN 1 AND 5) AS violations FROM lineitem""")
+def _c03(t):
+    return c.check_range(t["lineitem"], "l_linenumber", 1, 5, "lineitem")
+
+
+@query("c04_unique", """
+    SELECT 'lineitem(l_orderkey, l_linenumber) unique' AS rule, cast(sum(n - 1) AS bigint) AS violations
+    FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
+def _c04(t):
+    return c.check_unique(t["lineitem"], ["l_orderkey", "l_linenumber"], "lineitem")
+
+
+@query("c05_primary_key", """
+    WITH x AS (SELECT CASE WHEN l_linenumber < 7 THEN l_orderkey END AS k FROM lineitem)
+    SELECT 'lineitem(k) primary key' AS rule,
+           count(*) FILTER (k IS NULL) + count(k) - count(DISTINCT k) AS violations FROM x""")
+def _c05(t):
+    keys = t["lineitem"].select(F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("k"))
+    return c.check_primary_key(keys, ["k"], "lineitem")
+
+
+@query("c06_foreign_key", """
+    SELECT 'events.user_id references s_suppkey' AS rule, count(*) AS violations
+    FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT s_suppkey FROM supplier)""")
+def _c06(t):
+    return c.check_foreign_key(t["events"], "user_id", t["supplier"], "s_suppkey", "events")
+
+
+@query("c06_self_reference", """
+    WITH x AS (SELECT conv_id * 1000000 + turn AS me,
+                      CASE WHEN turn > 0 THEN conv_id * 1000000 + turn - 1 END AS boss, role
+               FROM conversations)
+    SELECT 'assistants.boss references me' AS rule, count(*) AS violations FROM x
+    WHERE role = 'assistant' AND boss IS NOT NULL
+      AND boss NOT IN (SELECT me FROM x WHERE role = 'assistant')""")
+def _c06_self(t):
+    me = F.col("conv_id") * 1_000_000 + F.col("turn")
+    turns = t["conversations"].where(F.col("role") == "assistant").select(
+        me.alias("me"), F.when(F.col("turn") > 0, me - 1).alias("boss")
+    )
+    return c.check_foreign_key(turns, "boss", turns, "me", "assistants")

@@ -48,4 +48,4 @@ def sql_unit(seed: int, key: str) -> str:
 
 def sql_round(expr: str, places: int = 2) -> str:
     """Half-up rounding of the shortest decimal form, as Spark rounds a double."""
-    return f"cast(round(cast({expr} as decimal(38,12)), {places}) as double)"
+    return f"cast(round(cast(cast({expr} as varchar) as decimal(38,18)), {places}) as double)"

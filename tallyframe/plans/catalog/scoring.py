@@ -1 +1,372 @@
-"""x"""
+"""Result comparison, scoring and reports on the star-schema tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyframe.functions.text import collapse_space
+from tallyframe.operators import comparison as cmp
+from tallyframe.operators import reporting as rep
+from tallyframe.operators import scoring as sc
+from tallyframe.plans.catalog.derived import PREDICTORS, SQL_SCORED, rounded, scored
+from tallyframe.plans.catalog.registry import query, sql_round
+
+# Every document becomes a statement or a model answer; which kind follows from
+# its language, so all kinds occur.
+_STATEMENT = """CASE lang WHEN 'en' THEN '  select ''' || text || ''' as t'
+    WHEN 'de' THEN 'WITH x AS (' || text || ') SELECT updated_at FROM x'
+    WHEN 'es' THEN '-- note' || chr(10) || 'SELECT 1 /*' || text || '*/'
+    ELSE 'SELECT replace(t, ''' || text || ''', "") FROM docs' END"""
+
+
+def _statements(t) -> DataFrame:
+    text, lit, concat = F.col("text"), F.lit, F.concat
+    statement = (
+        F.when(F.col("lang") == "en", concat(lit("  select '"), text, lit("' as t")))
+        .when(F.col("lang") == "de", concat(lit("WITH x AS ("), text, lit(") SELECT updated_at FROM x")))
+        .when(F.col("lang") == "es", concat(lit("-- note\nSELECT 1 /*"), text, lit("*/")))
+        .otherwise(concat(lit("SELECT replace(t, '"), text, lit("', \"\") FROM docs")))
+    )
+    return t["documents"].select("doc_id", "lang", statement.alias("sql"))
+
+
+_WORDS = "insert|update|delete|drop|alter|create|attach|pragma|vacuum|replace"
+
+
+@query("e01_screen_statements", rf"""
+    WITH x AS (SELECT doc_id, {_STATEMENT} AS s FROM documents)
+    SELECT doc_id, regexp_matches(s, '^\s*(?i:select|with)\b')
+           AND NOT regexp_matches(s, '\b(?i:{_WORDS})\b') AS allowed,
+           CASE WHEN NOT regexp_matches(s, '^\s*(?i:select|with)\b') THEN 'start'
+                WHEN regexp_matches(s, '\b(?i:{_WORDS})\b') THEN 'word' END AS kind
+    FROM x""")
+def _e01(t):
+    screened = sc.screen_statements(_statements(t), "sql")
+    kind = F.when(F.startswith("reason", F.lit("SQL must start")), "start").when(
+        F.startswith("reason", F.lit("SQL contains")), "word"
+    )
+    return screened.select("doc_id", "allowed", kind.alias("kind"))
+
+
+@query("e02_extract_sql", r"""
+    SELECT doc_id, trim(text, E' \t\n\r\f\v') AS sql FROM documents""")
+def _e02(t):
+    """Answers in several kinds of fence; inside is the text itself."""
+    text, lit, concat = F.col("text"), F.lit, F.concat
+    answer = (
+        F.when(F.col("lang") == "en", concat(lit("```sql\n"), text, lit("\n```")))
+        .when(F.col("lang") == "de", concat(lit(" \n```\n"), text, lit("\n  ```  ")))
+        .when(F.col("lang") == "es", concat(lit("```sql\n"), text))
+        .otherwise(concat(lit("\n  "), text, lit(" \n")))
+    )
+    answers = t["documents"].select("doc_id", answer.alias("answer"))
+    return sc.extract_sql(answers, "answer").select("doc_id", "sql")
+
+
+@query("e03_normalize_rows", f"""
+    SELECT l_orderkey, l_linenumber, {sql_round('l_extendedprice * (1 - l_discount)')} AS net,
+           {sql_round('l_quantity')} AS l_quantity, l_returnflag FROM lineitem""")
+def _e03(t):
+    net = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")
+    return cmp.normalize_rows(
+        t["lineitem"].select("l_orderkey", "l_linenumber", net, "l_quantity", "l_returnflag")
+    )
+
+
+# Gold: the line items of each supplier. Predicted: per supplier the same rows,
+# or with a change below or at the rounding, or some rows lost or doubled.
+_CELLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+
+
+def _supplier_results(t) -> tuple[DataFrame, DataFrame]:
+    gold = t["lineitem"].select("l_suppkey", *_CELLS)
+    kind = F.col("l_suppkey") % 5
+    copies = F.when((kind == 3) & (F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7), 0).when(
+        (kind == 4) & (F.col("l_quantity") == 50) & (F.col("l_linenumber") == 1), 2
+    ).otherwise(1)
+    pred = gold.withColumn("l_extendedprice", F.col("l_extendedprice") + F.when(kind == 1, 0.001)
+                           .when(kind == 2, 0.01).otherwise(0.0))
+    pred = pred.withColumn("_i", F.explode(F.array_repeat(F.lit(1), copies))).drop("_i")
+    # A different type and other names: only position and value count.
+    pred = pred.select("l_suppkey", *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(_CELLS)])
+    results = cmp.result_rows(gold, "l_suppkey", "gold", _CELLS).unionByName(
+        cmp.result_rows(pred, "l_suppkey", "pred", ["p0", "p1", "p2", "p3"])
+    )
+    examples = t["supplier"].select(F.col("s_suppkey").alias("example_id"))
+    return examples, results
+
+
+_SQL_SUPPLIER = """gold AS (SELECT l_suppkey AS example_id, l_orderkey, l_linenumber, l_quantity,
+        round(l_extendedprice, 2) AS price FROM lineitem),
+    pred AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity,
+        round(l_extendedprice + CASE l_suppkey % 5 WHEN 1 THEN 0.001 WHEN 2 THEN 0.01 ELSE 0 END, 2) AS price
+        FROM lineitem JOIN range(2) r(i) ON i < CASE
+            WHEN l_suppkey % 5 = 3 AND l_quantity = 50 AND l_linenumber = 7 THEN 0
+            WHEN l_suppkey % 5 = 4 AND l_quantity = 50 AND l_linenumber = 1 THEN 2 ELSE 1 END),
+    diff AS ((SELECT * FROM gold EXCEPT ALL SELECT * FROM pred) UNION ALL
+             (SELECT * FROM pred EXCEPT ALL SELECT * FROM gold))"""
+
+
+@query("e04_match_unordered", f"""
+    WITH {_SQL_SUPPLIER}
+    SELECT s_suppkey AS example_id, s_suppkey NOT IN (SELECT example_id FROM diff) AS matched
+    FROM supplier""")
+def _e04(t):
+    return cmp.match_unordered(*_supplier_results(t))
+
+
+@query("e04_same_result", """
+    WITH d AS ((SELECT p_partkey, p_type, p_retailprice FROM part
+                EXCEPT ALL SELECT p_partkey, p_type, p_retailprice + 0.001 FROM part))
+    SELECT (SELECT count(*) FROM d) = (SELECT count(*) FROM part) AS matched""")
+def _e04_pair(t):
+    """A pair of results that differ below the rounding: a match."""
+    gold = t["part"].select("p_partkey", "p_type", "p_retailprice")
+    pred = t["part"].select(
+        F.col("p_partkey").alias("a"), F.col("p_type").alias("b"),
+        (F.col("p_retailprice") + 0.001).alias("c"),
+    )
+    return cmp.same_result(gold, pred)
+
+
+# Orders per customer, placed by their key. A third of the customers keep the
+# order, a third get it reversed, a third get values changed below the rounding.
+def _customer_results(t) -> DataFrame:
+    gold = t["orders"].select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    kind = F.col("o_custkey") % 3
+    place = F.when(kind == 1, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    price = F.col("o_totalprice") + F.when(kind == 2, 0.001).otherwise(0.0)
+    pred = gold.withColumn("o_totalprice", price).withColumn("place", place)
+    cells = ["o_orderstatus", "o_totalprice"]
+    return cmp.result_rows(gold, "o_custkey", "gold", cells, "o_orderkey").unionByName(
+        cmp.result_rows(pred, "o_custkey", "pred", cells, "place")
+    )
+
+
+_SQL_CUSTOMER = """gold AS (SELECT o_custkey AS example_id, o_orderkey AS pos, o_orderstatus,
+        round(o_totalprice, 2) AS price FROM orders),
+    pred AS (SELECT o_custkey AS example_id,
+        CASE WHEN o_custkey % 3 = 1 THEN -o_orderkey ELSE o_orderkey END AS pos, o_orderstatus,
+        round(o_totalprice + CASE WHEN o_custkey % 3 = 2 THEN 0.001 ELSE 0 END, 2) AS price FROM orders)"""
+
+
+@query("e05_match_ordered", f"""
+    WITH {_SQL_CUSTOMER}, bad AS (
+        SELECT DISTINCT coalesce(g.example_id, p.example_id) AS example_id
+        FROM gold g FULL JOIN pred p ON g.example_id = p.example_id AND g.pos = p.pos
+        WHERE g.price IS DISTINCT FROM p.price OR g.o_orderstatus IS DISTINCT FROM p.o_orderstatus)
+    SELECT c_custkey AS example_id, c_custkey NOT IN (SELECT example_id FROM bad) AS matched
+    FROM customer""")
+def _e05(t):
+    examples = t["customer"].select(F.col("c_custkey").alias("example_id"))
+    return cmp.match_ordered(examples, _customer_results(t))
+
+
+_ORDER_TEXT = """CASE c_mktsegment WHEN 'BUILDING' THEN 'SELECT a FROM t ORDER  BY a'
+    WHEN 'MACHINERY' THEN 'select a from (select a from t order by a limit 5)'
+    WHEN 'FURNITURE' THEN 'SELECT reorder, byte FROM border' ELSE 'SELECT a FROM t' END"""
+
+
+@query("e06_is_ordered", f"""
+    SELECT c_custkey, regexp_matches({_ORDER_TEXT}, '(?i)\\border\\s+by\\b') AS ordered FROM customer""")
+def _e06(t):
+    statements = t["customer"].select("c_custkey", F.expr(_ORDER_TEXT).alias("sql"))
+    return cmp.flag_ordered(statements).select("c_custkey", "ordered")
+
+
+@query("e06_match_by_statement", f"""
+    WITH {_SQL_CUSTOMER}, bad AS (
+        SELECT DISTINCT coalesce(g.example_id, p.example_id) AS example_id
+        FROM gold g FULL JOIN pred p ON g.example_id = p.example_id AND g.pos = p.pos
+        WHERE g.price IS DISTINCT FROM p.price OR g.o_orderstatus IS DISTINCT FROM p.o_orderstatus)
+    SELECT c_custkey AS example_id, c_mktsegment IN ('BUILDING', 'MACHINERY') AS ordered,
+        c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+        OR c_custkey NOT IN (SELECT example_id FROM bad) AS matched
+    FROM customer""")
+def _e06_mixed(t):
+    """Order counts only where the statement asks for it; as multisets all
+    results here agree."""
+    statements = t["customer"].select(
+        F.col("c_custkey").alias("example_id"), F.expr(_ORDER_TEXT).alias("sql")
+    )
+    return cmp.match_results(cmp.flag_ordered(statements).drop("sql"), _customer_results(t))
+
+
+@query("e07_score", """
+    WITH p AS (SELECT event_id, user_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k
+               FROM events),
+    v AS (SELECT user_id, event_type, sum(k) % 2 = 0 AS matched FROM p GROUP BY ALL)
+    SELECT event_id, event_type AS predictor, c_mktsegment AS category,
+        CASE WHEN user_id % 11 = 0 THEN 'predictor error: timeout'
+             WHEN c_custkey % 13 = 0 THEN 'rejected unsafe SQL: SQL must start with SELECT or WITH, got: ''DELETE FROM t'''
+             WHEN user_id % 17 = 0 THEN 'rejected unsafe SQL: SQL contains a forbidden write/DDL keyword: "SELECT ''drop''"'
+             WHEN k > 90 THEN 'execution error: no such column: x' END AS exec_error,
+        user_id % 11 <> 0 AND c_custkey % 13 <> 0 AND user_id % 17 <> 0 AND k <= 90 AND matched AS correct
+    FROM p JOIN customer ON c_custkey = user_id JOIN v USING (user_id, event_type)""")
+def _e07(t):
+    examples = t["customer"].select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("question about "), "c_name").alias("question"),
+        F.col("c_mktsegment").alias("category"),
+        F.when(F.col("c_custkey") % 13 == 0, "DELETE FROM t").otherwise("SELECT 1").alias("sql"),
+    )
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    predictions = t["events"].withColumn("k", k).select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("predictor"), "event_id",
+        F.when(F.col("user_id") % 17 == 0, "SELECT 'drop'").otherwise("SELECT 2").alias("sql"),
+        F.when(F.col("user_id") % 11 == 0, "timeout").otherwise("").alias("error"),
+        F.when(F.col("k") > 90, "no such column: x").alias("run_error"),
+        "k",
+    )
+    verdicts = predictions.groupBy("id", "predictor").agg((F.sum("k") % 2 == 0).alias("matched"))
+    result = sc.score(examples, predictions.drop("k"), verdicts)
+    return result.select("event_id", "predictor", "category", "exec_error", "correct")
+
+
+@query("e08_accuracy", f"""
+    WITH {SQL_SCORED} SELECT avg(correct::int::double) AS accuracy FROM scored""")
+def _e08(t):
+    return sc.accuracy(scored(t))
+
+
+@query("e09_accuracy_by_category", f"""
+    WITH {SQL_SCORED} SELECT predictor, category, avg(correct::int::double) AS accuracy
+    FROM scored GROUP BY ALL ORDER BY ALL""")
+def _e09(t):
+    return sc.accuracy_by_category(scored(t), ("predictor",))
+
+
+_SQL_LATENCY = f"""latency AS (
+    SELECT predictor, max(latency_ms) FILTER (i = n // 2) AS p50,
+           max(latency_ms) FILTER (i = least(n - 1, cast(floor(n * 0.95) AS bigint))) AS p95,
+           {sql_round('avg(latency_ms)', 6)} AS mean
+    FROM (SELECT predictor, latency_ms, count(*) OVER (PARTITION BY predictor) AS n,
+                 row_number() OVER (PARTITION BY predictor ORDER BY latency_ms) - 1 AS i FROM scored)
+    GROUP BY predictor)"""
+
+
+@query("e10_latency_stats", f"WITH {SQL_SCORED}, {_SQL_LATENCY} SELECT * FROM latency")
+def _e10(t):
+    return rounded(sc.latency_stats(scored(t), ("predictor",)), only=["mean"])
+
+
+@query("e10_latency_stats_overall", f"""
+    WITH {SQL_SCORED}, r AS (SELECT latency_ms, count(*) OVER () AS n,
+        row_number() OVER (ORDER BY latency_ms) - 1 AS i FROM scored)
+    SELECT max(latency_ms) FILTER (i = n // 2) AS p50,
+           max(latency_ms) FILTER (i = least(n - 1, cast(floor(n * 0.95) AS bigint))) AS p95,
+           {sql_round('avg(latency_ms)', 6)} AS mean FROM r""")
+def _e10_all(t):
+    return rounded(sc.latency_stats(scored(t)), only=["mean"])
+
+
+@query("e11_total_cost", f"""
+    WITH {SQL_SCORED} SELECT predictor, {sql_round('sum(cost_usd)', 9)} AS total_cost_usd
+    FROM scored GROUP BY predictor""")
+def _e11(t):
+    return rounded(sc.total_cost(scored(t), ("predictor",)), 9)
+
+
+@query("e12_cost_per_1k", f"""
+    WITH {SQL_SCORED} SELECT predictor, {sql_round('sum(cost_usd) / count(*) * 1000', 6)} AS cost_per_1k_usd
+    FROM scored GROUP BY predictor""")
+def _e12(t):
+    return rounded(sc.cost_per_1k(scored(t), ("predictor",)), 6)
+
+
+@query("e13_failures", f"""
+    WITH {SQL_SCORED} SELECT predictor, id, question, category, gold_sql, sql AS pred_sql, exec_error
+    FROM scored WHERE NOT correct""")
+def _e13(t):
+    return sc.failures(scored(t))
+
+
+@query("e14_report", f"""
+    WITH {SQL_SCORED}, {_SQL_LATENCY},
+    sums AS (SELECT predictor, avg(correct::int::double) AS accuracy, count(*) AS n,
+        {sql_round('sum(cost_usd)', 9)} AS total_cost_usd,
+        {sql_round('sum(cost_usd) / count(*) * 1000', 6)} AS cost_per_1k_usd,
+        count(*) FILTER (NOT correct) AS n_failures FROM scored GROUP BY predictor),
+    cats AS (SELECT predictor, category, avg(correct::int::double) AS category_accuracy
+             FROM scored GROUP BY ALL)
+    SELECT * FROM sums JOIN latency USING (predictor) JOIN cats USING (predictor)""")
+def _e14(t):
+    """The report, its map turned back into rows for the comparison."""
+    flat = sc.report(scored(t)).select(
+        "predictor", "accuracy", "n", F.round("total_cost_usd", 9).alias("total_cost_usd"),
+        F.round("cost_per_1k_usd", 6).alias("cost_per_1k_usd"), "n_failures",
+        "latency_ms.p50", "latency_ms.p95", F.round("latency_ms.mean", 6).alias("mean"),
+        F.explode("accuracy_by_category").alias("category", "category_accuracy"),
+    )
+    return flat
+
+
+@query("e15_token_cost", f"""
+    WITH x AS (SELECT event_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k FROM events)
+    SELECT event_id, CASE event_type WHEN 'view' THEN {sql_round('k / 1e6 * 1.0 + 3 * k / 1e6 * 5.0', 9)}
+        WHEN 'click' THEN {sql_round('k / 1e6 * 3.0 + 3 * k / 1e6 * 15.0', 9)} END AS cost_usd FROM x""")
+def _e15(t):
+    tokens = F.get_json_object("props", "$.k").cast("bigint")
+    used = t["events"].select(
+        "event_id", F.col("event_type").alias("model"), tokens.alias("input_tokens"),
+        (tokens * 3).alias("output_tokens"),
+    )
+    prices = t.spark.createDataFrame(
+        [("view", 1.0, 5.0), ("click", 3.0, 15.0)], "model string, price_in double, price_out double"
+    )
+    return rounded(sc.token_cost(used, prices).select("event_id", "cost_usd"), 9)
+
+
+@query("e16_leaderboard", f"""
+    WITH {SQL_SCORED}, {_SQL_LATENCY},
+    sums AS (SELECT predictor, avg(correct::int::double) AS acc, count(*) AS n,
+        sum(cost_usd) / count(*) * 1000 AS c FROM scored GROUP BY predictor)
+    SELECT predictor, printf('%.1f%%', acc * 100) AS accuracy, n, printf('%.0f', p50) AS p50_ms,
+           printf('%.0f', p95) AS p95_ms, printf('$%.4f', c) AS cost_per_1k
+    FROM sums JOIN latency USING (predictor)""")
+def _e16(t):
+    return rep.leaderboard(sc.report(scored(t)))
+
+
+@query("e17_category_matrix", f"""
+    WITH {SQL_SCORED}, x AS (SELECT category, predictor, avg(correct::int::double) AS a
+        FROM scored WHERE NOT (category = 'c3' AND predictor = 'view') GROUP BY ALL)
+    SELECT category, """ + ", ".join(f"max(a) FILTER (predictor = '{p}') AS {p}" for p in PREDICTORS)
+    + " FROM x GROUP BY category")
+def _e17(t):
+    """One predictor never met one category: an empty cell, not a zero."""
+    kept = ~((F.col("category") == "c3") & (F.col("predictor") == "view"))
+    return rep.category_matrix(sc.report(scored(t).where(kept)), PREDICTORS)
+
+
+_SQL_TOP_FAILURES = f"""
+    WITH {SQL_SCORED} SELECT predictor, id, category, exec_error, rn AS place, n AS total,
+        greatest(n - 10, 0) AS remaining
+    FROM (SELECT *, row_number() OVER (PARTITION BY predictor ORDER BY id) AS rn,
+                 count(*) OVER (PARTITION BY predictor) AS n FROM scored WHERE NOT correct)
+    WHERE rn <= 10"""
+
+
+@query("e18_top_failures", _SQL_TOP_FAILURES)
+def _e18(t):
+    top = rep.top_failures(sc.failures(scored(t)), 10)
+    return top.select("predictor", "id", "category", "exec_error", "place", "total", "remaining")
+
+
+@query("e19_preview", """
+    WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+        count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+    SELECT o_custkey AS example_id, rn - 1 AS place, 'n:' || o_orderkey || '|s:' || o_orderstatus AS cells,
+           n AS result_row_count, n > 6 AS result_truncated
+    FROM r WHERE rn <= 6""")
+def _e19(t):
+    results = cmp.result_rows(
+        t["orders"], "o_custkey", "gold", ["o_orderkey", "o_orderstatus"], "o_orderkey"
+    )
+    shown = rep.preview(results, 6)
+    flat = shown.select("example_id", "result_row_count", "result_truncated",
+                        F.posexplode("result_rows").alias("place", "row"))
+    return flat.select("example_id", "place", F.array_join("row", "|").alias("cells"),
+                       "result_row_count", "result_truncated")

@@ -28,15 +28,16 @@ def report_failures(reports: DataFrame) -> DataFrame:
     return reports.select("predictor", F.explode("failures").alias("_f")).select("predictor", "_f.*")
 
 
-def write_report(report: DataFrame, path: str, failed: DataFrame | None = None) -> None:
-    """Write the report rows and, next to them, the failures: a folder per
-    predictor with one failure per line, written by many tasks."""
-    report.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/reports")
-    if failed is not None:
-        failed.write.mode("overwrite").partitionBy("predictor").json(f"{path}/failures")
-
-
-def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reports and failures as ``write_report`` left them."""
-    failed = spark.read.schema(f"{FAILURE_FIELDS}, predictor string").json(f"{path}/failures")
-    return read_reports(spark, f"{path}/reports", one_per_file=False), failed
+def write_report(report: DataFrame, path: str) -> None:
+    """One report per line; structs and maps stay nested."""
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_failures(failed: DataFrame, path: str) -> None:
+    """Failures next to the reports: a folder per predictor, one failure per
+    line, written by many tasks."""
+    failed.write.mode("overwrite").partitionBy("predictor").json(path)
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{FAILURE_FIELDS}, predictor string").json(path)
