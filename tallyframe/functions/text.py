@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +15,9 @@ WRITE_WORDS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER",
     "CREATE", "ATTACH", "PRAGMA", "VACUUM", "REPLACE",
 )
-WORD_SPACE = (
-    r"[\t\n\x0b\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a"
-    r"\u2028\u2029\u202f\u205f\u3000]"
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 _STARTS = rf"(?iU)^\s*({'|'.join(READ_STARTS)})\b"
@@ -26,27 +29,34 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def collapse_space(col: str | Column) -> Column:
-    """Every run of white space becomes one blank; none at the ends."""
-    return F.btrim(F.regexp_replace(_c(col), f"{WORD_SPACE}+", " "))
-
-
 def strip_space(col: str | Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(_c(col), rf"^{WORD_SPACE}+|{WORD_SPACE}+\z", "")
+    return F.btrim(_c(col), F.lit(SPACES))
+
+
+def collapse_space(col: str | Column) -> Column:
+    """Every run of white space becomes one blank; none at the ends."""
+    blanks = F.translate(_c(col), SPACES, " " * len(SPACES))
+    return F.btrim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def starts_as_read(col: str | Column) -> Column:
     return _c(col).rlike(_STARTS)
 
 
+def _holds_any(col: str | Column, words: Iterable[str]) -> Column:
+    """A plain search that spares most texts the regular expression."""
+    lower = F.lower(_c(col))
+    return reduce(Column.__or__, [F.contains(lower, F.lit(w.lower())) for w in words])
+
+
 def has_write_word(col: str | Column) -> Column:
-    return _c(col).rlike(_WRITES)
+    return _holds_any(col, WRITE_WORDS) & _c(col).rlike(_WRITES)
 
 
 def asks_for_order(col: str | Column) -> Column:
     """True if the statement holds ORDER BY anywhere, subqueries included."""
-    return _c(col).rlike(_SORTED)
+    return _holds_any(col, ["order"]) & _c(col).rlike(_SORTED)
 
 
 def quoted(col: str | Column) -> Column:
@@ -70,9 +80,13 @@ def without_fence(col: str | Column) -> Column:
     """Drop a code fence around the text: the whole opening line, and the
     closing line if the text ends in one."""
     text = strip_space(col)
-    body = F.regexp_replace(text, r"^```[^\n]*(\n|\z)", "")
-    body = F.regexp_replace(body, r"(^|\n)[^\S\n]*```[^\n]*\z", "")
-    return F.when(F.startswith(text, F.lit("```")), strip_space(body)).otherwise(text)
+    fence = F.lit("```")
+    first_break = F.locate("\n", text)
+    body = F.when(first_break > 0, F.substr(text, first_break + 1)).otherwise(F.lit(""))
+    last_line = F.substring_index(body, "\n", -1)
+    before_last = F.left(body, F.greatest(F.length(body) - F.length(last_line) - 1, F.lit(0)))
+    inner = F.when(F.startswith(strip_space(last_line), fence), before_last).otherwise(body)
+    return F.when(F.startswith(text, fence), strip_space(inner)).otherwise(text)
 
 
 def padded_id(prefix: str | Column, number: str | Column, width: int = 4) -> Column:

@@ -38,29 +38,46 @@ def rounded_or_zero(col: Column, places: int) -> Column:
     return F.coalesce(F.round(col, places), F.lit(0.0))
 
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
+# Above this size neighbouring doubles are further apart than a cent.
+_CENTS_LIMIT = float(2**46)
+
 
 def round_cell(col: Column, dtype: T.DataType) -> Column:
-    """Reals to two places, minus zero as zero; everything else unchanged."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.round(col.cast("double"), 2) + F.lit(0.0)
-    return col
+    """Reals to two places (a tie goes to the even cent), minus zero as zero;
+    everything else unchanged."""
+    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return col
+    value = col.cast("double")
+    cents = F.rint(value * 100) / F.lit(100.0) + F.lit(0.0)
+    return F.when(F.abs(value) < _CENTS_LIMIT, cents).otherwise(value)
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
     """Text form of a cell in which equal values look alike: 5 and 5.0 agree,
-    the number 5 and the text '5' do not, null stays null."""
+    the number 5 and the text '5' do not, null stays null.
+
+    Numbers are written in cents, which spares the formatting of doubles.
+    """
     if isinstance(dtype, T.BooleanType):
-        return F.concat(F.lit("n:"), col.cast("int").cast("string"))
-    if isinstance(dtype, _NUMERIC):
-        return F.concat(F.lit("n:"), col.cast("string"))
+        col, dtype = col.cast("bigint"), T.LongType()
+    number = F.lit("n:")
+    if isinstance(dtype, _WHOLE):
+        value = col.cast("bigint")
+        wide = (value.cast("decimal(20,0)") * 100).cast("string")
+        small = F.abs(value.cast("double")) < 9.0e16
+        return F.concat(number, F.when(small, (value * 100).cast("string")).otherwise(wide))
     if isinstance(dtype, _REAL):
-        value = round_cell(col.cast("double"), T.DoubleType())
-        whole = (value == F.floor(value)) & (F.abs(value) < 9.0e18)
-        text = F.when(whole, value.cast("bigint").cast("string")).otherwise(
-            value.cast("string")
+        value = col.cast("double")
+        cents = F.rint(value * 100).cast("bigint").cast("string")
+        wide = (value.cast("decimal(20,0)") * 100).cast("string")
+        whole = (F.abs(value) < 9.2e18) & (F.rint(value) == value)
+        text = (
+            F.when(F.abs(value) < _CENTS_LIMIT, cents)
+            .when(whole, wide)
+            .otherwise(value.cast("string"))
         )
-        return F.when(col.isNotNull(), F.concat(F.lit("n:"), text))
+        return F.concat(number, text)
     return F.concat(F.lit("s:"), col.cast("string"))

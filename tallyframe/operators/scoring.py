@@ -123,6 +123,16 @@ def failures(scored: DataFrame) -> DataFrame:
     return scored.where(~F.col("correct")).select(*extra, *kept)
 
 
+def category_maps(scored: DataFrame) -> DataFrame:
+    """(predictor, accuracy_by_category): one map per predictor. It has one
+    entry per category, however many rows there are."""
+    categories = scored.groupBy("predictor", "category").agg(_share().alias("accuracy"))
+    entries = F.array_sort(F.collect_list(F.struct("category", "accuracy")))
+    return categories.groupBy("predictor").agg(
+        F.map_from_entries(entries).alias("accuracy_by_category")
+    )
+
+
 def report(scored: DataFrame, predictors: DataFrame | None = None) -> DataFrame:
     """One row per predictor. ``predictors`` may list some without any row.
 
@@ -135,11 +145,7 @@ def report(scored: DataFrame, predictors: DataFrame | None = None) -> DataFrame:
         F.sum("cost_usd").alias("total_cost_usd"),
         F.count_if(~F.col("correct")).alias("n_failures"),
     )
-    categories = scored.groupBy("predictor", "category").agg(_share().alias("accuracy"))
-    entries = F.array_sort(F.collect_list(F.struct("category", "accuracy")))
-    maps = categories.groupBy("predictor").agg(
-        F.map_from_entries(entries).alias("accuracy_by_category")
-    )
+    maps = category_maps(scored)
     latency = latency_stats(scored, ("predictor",)).select(
         "predictor", F.struct("p50", "p95", "mean").alias("latency_ms")
     )

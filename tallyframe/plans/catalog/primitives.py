@@ -170,7 +170,7 @@ def _t01(t):
 
 @query("t04_category_union", f"WITH {SQL_SCORED} SELECT DISTINCT category FROM scored")
 def _t04(t):
-    return rep.category_names(sc.report(scored(t)))
+    return rep.category_names(sc.category_maps(scored(t)))
 
 
 @query("f04_shift_months", """
