@@ -45,14 +45,17 @@ _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 _CENTS_LIMIT = float(2**46)
 
 
+def _cents(value: Column) -> Column:
+    return F.rint(value * 100).cast("bigint")
+
+
 def round_cell(col: Column, dtype: T.DataType) -> Column:
-    """Reals to two places (a tie goes to the even cent), minus zero as zero;
-    everything else unchanged."""
+    """Reals to two places (half a cent goes to the even cent), minus zero as
+    zero; everything else unchanged."""
     if not isinstance(dtype, (T.FloatType, T.DoubleType)):
         return col
     value = col.cast("double")
-    cents = F.rint(value * 100) / F.lit(100.0) + F.lit(0.0)
-    return F.when(F.abs(value) < _CENTS_LIMIT, cents).otherwise(value)
+    return F.when(F.abs(value) < _CENTS_LIMIT, _cents(value) / F.lit(100.0)).otherwise(value)
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
@@ -71,8 +74,8 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
         return F.concat(number, F.when(small, (value * 100).cast("string")).otherwise(wide))
     if isinstance(dtype, _REAL):
         value = col.cast("double")
-        cents = F.rint(value * 100).cast("bigint").cast("string")
-        wide = (value.cast("decimal(20,0)") * 100).cast("string")
+        cents = _cents(value).cast("string")
+        wide = (value.cast("bigint").cast("decimal(20,0)") * 100).cast("string")
         whole = (F.abs(value) < 9.2e18) & (F.rint(value) == value)
         text = (
             F.when(F.abs(value) < _CENTS_LIMIT, cents)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.hashing import order_hash
 from tallyframe.functions.text import padded_id
 
-_HASH, _PIECE, _COUNT, _BEFORE, _TOTAL = "_hash", "_piece", "_count", "_before", "_total"
+_HASH, _PIECE, _RANK = "_hash", "_piece", "_rank"
+_COUNT, _BEFORE, _TOTAL = "_count", "_before", "_total"
 
 
 def shuffled_positions(
@@ -47,11 +48,16 @@ def shuffled_positions(
         F.sum(_COUNT).over(Window.partitionBy(*group)).alias(_TOTAL),
     )
 
+    # Ranked before the join: the one shuffle of the rows is by piece, and the
+    # small side that follows may be broadcast or merged as it comes.
     rank = F.row_number().over(Window.partitionBy(_PIECE).orderBy(_HASH, key))
-    placed = rows.join(sizes, _PIECE).withColumn(position, F.col(_BEFORE) + rank - 1)
+    ranked = rows.withColumn(_RANK, rank)
+    placed = ranked.join(sizes, _PIECE).withColumn(
+        position, F.col(_BEFORE) + F.col(_RANK) - F.lit(1)
+    )
     if total is not None:
         placed = placed.withColumn(total, F.col(_TOTAL))
-    return placed.drop(_HASH, _PIECE, _BEFORE, _TOTAL)
+    return placed.drop(_HASH, _PIECE, _RANK, _BEFORE, _TOTAL)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
-def session(partitions: int = 8):
+def session(partitions: int = 4):
     from pyspark.sql import SparkSession
 
     from tallyframe.session import tune
