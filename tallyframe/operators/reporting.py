@@ -83,9 +83,6 @@ def preview(results: DataFrame, k: int = 6) -> DataFrame:
 def capped(df: DataFrame, cap: int, order: list[str]) -> DataFrame:
     """At most ``cap`` rows, each with the true ``row_count`` and ``truncated``."""
     total = df.agg(F.count("*")).scalar()
-    return (
-        df.orderBy(*order)
-        .limit(cap)
-        .withColumn("row_count", total)
-        .withColumn("truncated", F.col("row_count") > cap)
+    return df.orderBy(*order).limit(cap).select(
+        "*", total.alias("row_count"), (total > cap).alias("truncated")
     )
