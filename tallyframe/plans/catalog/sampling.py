@@ -9,13 +9,11 @@ from tallyframe.plans.catalog.registry import query, sql_hash, sql_unit
 
 
 @query("g01_weighted_assign", f"""
-    SELECT c_custkey, CASE WHEN u < 0.5 THEN 'free' WHEN u < 0.75 THEN 'silver'
-           WHEN u < 0.93 THEN 'gold' ELSE 'platinum' END AS tier
+    SELECT c_custkey, CASE WHEN u < 0.625 THEN 'low' WHEN u < 0.875 THEN 'mid' ELSE 'high' END AS level
     FROM (SELECT c_custkey, {sql_unit(42, 'c_custkey')} AS u FROM customer)""")
 def _g01(t):
     keys = t["customer"].select("c_custkey")
-    tiers, weights = ["free", "silver", "gold", "platinum"], [0.5, 0.25, 0.18, 0.07]
-    return s.weighted_assign(keys, "c_custkey", tiers, weights, 42, "tier")
+    return s.weighted_assign(keys, "c_custkey", ["low", "mid", "high"], [5, 2, 1], 42, "level")
 
 
 @query("g02_bernoulli", f"""
