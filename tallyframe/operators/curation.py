@@ -40,19 +40,22 @@ def expand_templates(templates: DataFrame, params: DataFrame) -> DataFrame:
 
     ``templates``: template_id, category, phrasings (array), sql, domain (null
     for a template without a parameter). ``params``: domain, value. The marker
-    to replace is the domain's name in braces. Templates meet their values
-    through the domain, so no pair is built that is then thrown away.
+    to replace is the domain's name in braces; a template whose domain has no
+    values gives no rows.
+
+    Templates meet their values through the domain, so no pair is built that is
+    then thrown away. The join is an inner one: there Spark may send the few
+    templates to the values, or split a domain that holds most of them.
     """
-    filled = templates.join(params, "domain", "left")
-    return (
-        filled.withColumn("phrasing", F.explode("phrasings"))
-        .select(
-            "template_id",
-            "category",
-            "value",
-            fill("phrasing", "domain", "value").alias("question"),
-            fill("sql", "domain", "value").alias("sql"),
-        )
+    bound = templates.join(params, "domain")
+    free = templates.where(F.col("domain").isNull()).withColumn("value", F.lit(None).cast("string"))
+    filled = bound.unionByName(free).withColumn("phrasing", F.explode("phrasings"))
+    return filled.select(
+        "template_id",
+        "category",
+        "value",
+        fill("phrasing", "domain", "value").alias("question"),
+        fill("sql", "domain", "value").alias("sql"),
     )
 
 

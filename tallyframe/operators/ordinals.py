@@ -87,17 +87,21 @@ def values_at(
         )
     )
 
-    near = rows.join(target, ["_g", "_cut"]).withColumn("_sub", _fine(F.col("_v")))
     keys = ("_g", "_pick")
-    subs = near.groupBy(*keys, "n", "_k", "_sub").agg(F.count("*").alias("_n"))
+    near = rows.join(target, ["_g", "_cut"])
+    values = near.groupBy(*keys, "n", "_k", "_lo", "_hi", "_v").agg(F.count("*").alias("_n"))
+    # Never null, so the join below adds no filter and both readers of the
+    # values share one shuffle.
+    values = values.withColumn("_sub", F.coalesce(_fine(F.col("_v")), F.lit(0).cast("bigint")))
+
+    subs = values.groupBy(*keys, "_k", "_sub").agg(F.sum("_n").alias("_n"))
     subs = subs.withColumn("_before", running(*keys, order="_sub") - F.col("_n"))
     target = subs.where(
         (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n"))
     ).select(*keys, "_sub", (F.col("_k") - F.col("_before")).alias("_k2"))
 
-    last = near.join(target, [*keys, "_sub"])
-    distinct = last.groupBy(*keys, "n", "_k2", "_v").agg(F.count("*").alias("_n"))
-    found = distinct.withColumn("_upto", running(*keys, order="_v")).where(
+    last = values.join(target, [*keys, "_sub"])
+    found = last.withColumn("_upto", running(*keys, order="_v")).where(
         (F.col("_k2") >= F.col("_upto") - F.col("_n")) & (F.col("_k2") < F.col("_upto"))
     )
     answer = found.groupBy("_g", "n").agg(

@@ -90,17 +90,20 @@ def accuracy_by_category(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFra
     return scored.groupBy(*keys).agg(_share().alias("accuracy")).orderBy(*keys)
 
 
+def _latency_marks(scored: DataFrame, by: list[str]) -> DataFrame:
+    picks = {"p50": upper_median, "p95": high_index(0.95)}
+    return values_at(scored, by, "latency_ms", picks).drop("n")
+
+
 def latency_stats(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """p50, p95 (values at an index, not interpolated) and mean; zeros
     without rows. Failed calls count."""
-    marks = values_at(
-        scored, list(by), "latency_ms", {"p50": upper_median, "p95": high_index(0.95)}
-    )
+    marks = _latency_marks(scored, list(by))
     mean = scored.groupBy(*by).agg(F.avg("latency_ms").alias("mean"))
     if by:
-        return mean.join(marks.drop("n"), list(by), "left").select(*by, "p50", "p95", "mean")
+        return mean.join(marks, list(by), "left").select(*by, "p50", "p95", "mean")
     # Without groups both sides are at most one row: stack them and fold.
-    stacked = marks.drop("n").unionByName(mean, allowMissingColumns=True)
+    stacked = marks.unionByName(mean, allowMissingColumns=True)
     return stacked.agg(
         *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("p50", "p95", "mean")]
     )
@@ -139,17 +142,28 @@ def report(scored: DataFrame, predictors: DataFrame | None = None) -> DataFrame:
     The failures stay a table of their own (``failures``): as an array in the
     report row they would gather an unbounded group in one task.
     """
-    sums = scored.groupBy("predictor").agg(
-        _share().alias("accuracy"),
+    parts = scored.groupBy("predictor", "category").agg(
         F.count("*").alias("n"),
-        F.sum("cost_usd").alias("total_cost_usd"),
-        F.count_if(~F.col("correct")).alias("n_failures"),
+        F.count_if("correct").alias("hits"),
+        F.sum("cost_usd").alias("cost"),
+        F.sum("latency_ms").alias("latency"),
+        F.count("latency_ms").alias("timed"),
+    )
+    share = (F.col("hits") / F.col("n")).alias("accuracy")
+    sums = parts.groupBy("predictor").agg(
+        (F.sum("hits") / F.sum("n")).alias("accuracy"),
+        F.sum("n").alias("n"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", share)))).alias(
+            "accuracy_by_category"
+        ),
+        F.sum("cost").alias("total_cost_usd"),
+        (F.sum("latency") / F.nullif(F.sum("timed"), F.lit(0))).alias("mean"),
+        (F.sum("n") - F.sum("hits")).alias("n_failures"),
     )
-    maps = category_maps(scored)
-    latency = latency_stats(scored, ("predictor",)).select(
-        "predictor", F.struct("p50", "p95", "mean").alias("latency_ms")
+    marks = _latency_marks(scored, ["predictor"])
+    joined = sums.join(marks, "predictor", "left").withColumn(
+        "latency_ms", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "mean")])
     )
-    joined = sums.join(maps, "predictor").join(latency, "predictor")
     if predictors is not None:
         joined = predictors.select("predictor").distinct().join(joined, "predictor", "left")
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("p50", "p95", "mean")])

@@ -341,7 +341,7 @@ def _e17(t):
 
 
 _SQL_TOP_FAILURES = f"""
-    WITH {SQL_SCORED} SELECT predictor, id, category, exec_error, rn AS place, n AS total,
+    WITH {SQL_SCORED} SELECT predictor, id, category, exec_error, rn::integer AS place, n AS total,
         greatest(n - 10, 0) AS remaining
     FROM (SELECT *, row_number() OVER (PARTITION BY predictor ORDER BY id) AS rn,
                  count(*) OVER (PARTITION BY predictor) AS n FROM scored WHERE NOT correct)
@@ -358,7 +358,7 @@ def _e18(t):
     WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus,
         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
         count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-    SELECT o_custkey AS example_id, rn - 1 AS place, 'n:' || o_orderkey * 100 || '|s:' || o_orderstatus AS cells,
+    SELECT o_custkey AS example_id, (rn - 1)::integer AS place, 'n:' || o_orderkey * 100 || '|s:' || o_orderstatus AS cells,
            n AS result_row_count, n > 6 AS result_truncated
     FROM r WHERE rn <= 6""")
 def _e19(t):

@@ -22,10 +22,21 @@ _ADAPTIVE = {
 }
 
 
+_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Turn on run-time re-planning, skew splitting included."""
+    """Turn on run-time re-planning, skew splitting included.
+
+    Where the cluster has more cores than shuffle partitions, shuffles start
+    with three partitions per core; small ones are merged again at run time.
+    """
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if cores > partitions and spark.conf.get(_FIRST_PARTITIONS, None) is None:
+        spark.conf.set(_FIRST_PARTITIONS, str(3 * cores))
     return spark
 
 

@@ -31,7 +31,9 @@ def as_calls(df: DataFrame) -> DataFrame:
 
 
 def append_calls(df: DataFrame, path: str) -> None:
-    as_calls(df).write.mode("append").partitionBy("day").parquet(path)
+    """Append to the day folders. Rows are gathered by day first, a large day
+    split again by size, so a folder gets few files however many tasks ran."""
+    as_calls(df).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:

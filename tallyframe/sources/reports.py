@@ -35,8 +35,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def write_failures(failed: DataFrame, path: str) -> None:
     """Failures next to the reports: a folder per predictor, one failure per
-    line, written by many tasks."""
-    failed.write.mode("overwrite").partitionBy("predictor").json(path)
+    line. Rows are gathered by predictor and a large predictor is split again,
+    so many tasks write it and few files come out."""
+    failed.hint("rebalance", "predictor").write.mode("overwrite").partitionBy("predictor").json(path)
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
