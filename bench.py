@@ -1,7 +1,8 @@
 """Time every catalog query, second run, and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_ONLY (comma-separated name prefixes).
+BENCH_ONLY (comma-separated name prefixes), BENCH_BUDGET (seconds after which no
+further query starts, default 1500).
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
+    deadline = time.monotonic() + float(os.environ.get("BENCH_BUDGET", "1500"))
     seconds = {}
     for name, entry in CATALOG.items():
         if only and not name.startswith(only):
             continue
+        if time.monotonic() > deadline:
+            print(f"budget used up before {name}", file=sys.stderr)
+            break
         for _ in range(2):
             start = time.perf_counter()
             entry(spark, folder).write.format("noop").mode("overwrite").save()

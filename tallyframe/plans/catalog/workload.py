@@ -213,17 +213,21 @@ def _q22(t):
 _BOUGHT = "JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
 
 
+_KIND = "p_brand || ' ' || p_type || ' ' || p_size"
+
+
 @query("q23_bought_every_product", f"""
     SELECT c_name AS name FROM customer WHERE (
         SELECT count(DISTINCT l_partkey) FROM orders {_BOUGHT}
-        WHERE o_custkey = c_custkey AND p_partkey = 5
-    ) = (SELECT count(*) FROM part WHERE p_partkey = 5)""")
+        WHERE o_custkey = c_custkey AND {_KIND} = 'Brand#2 ECONOMY 11'
+    ) = (SELECT count(*) FROM part WHERE {_KIND} = 'Brand#2 ECONOMY 11')""")
 def _q23(t):
-    """The key itself as the category: a divisor of one product."""
+    """Narrow categories of a few products each."""
     products = t["part"].select(
-        F.col("p_partkey").alias("product_id"), F.col("p_partkey").alias("category")
+        F.col("p_partkey").alias("product_id"),
+        F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("category"),
     )
-    return w.q23_bought_every_product(_shop(t, products=products), 5)
+    return w.q23_bought_every_product(_shop(t, products=products), "Brand#2 ECONOMY 11")
 
 
 @query("q23_bought_every_brand", f"""

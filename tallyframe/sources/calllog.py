@@ -17,23 +17,30 @@ _OPTIONAL = {
 _FIELDS = [f.split()[0] for f in CALL_SCHEMA.split(", ")]
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    if "ts" not in df.columns:
+        now = F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")
+        df = df.withColumn("ts", now)
+    return df.withColumn("day", F.to_date("ts"))
+
+
 def as_calls(df: DataFrame) -> DataFrame:
     """Fill in what a call may leave out: id, time, optional fields."""
+    df = _dated(df)
     if "id" not in df.columns:
         df = df.withColumn("id", F.expr("uuid()"))
-    if "ts" not in df.columns:
-        df = df.withColumn("ts", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz"))
     for name, dtype in _OPTIONAL.items():
         if name not in df.columns:
             default = F.lit(0.0) if name == "latency_ms" else F.lit(None)
             df = df.withColumn(name, default.cast(dtype))
-    return df.select(*_FIELDS, F.to_date("ts").alias("day"))
+    return df.select(*_FIELDS, "day")
 
 
 def append_calls(df: DataFrame, path: str) -> None:
     """Append to the day folders. Rows are gathered by day first, a large day
-    split again by size, so a folder gets few files however many tasks ran."""
-    as_calls(df).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    split again by size, so a folder gets few files however many tasks ran.
+    Ids are drawn after that shuffle, so a repeated map task changes nothing."""
+    as_calls(_dated(df).hint("rebalance", "day")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
