@@ -4,8 +4,9 @@ The order is the order of a hash of the key. A window over a whole table (or a
 whole stratum) would sort it in one task, so rows are first cut by the leading
 hex digits of the hash: the ordinal is the number of rows in earlier cuts plus
 the rank inside the cut. Hashes spread evenly, hence a stratum that holds a
-third of the table is still cut into 16**digits even pieces. The only window
-that is not cut runs over the piece counts, at most 16**digits rows.
+third of the table falls into even pieces, as many as its size asks for; a small
+stratum stays in one. The only window that is not cut runs over piece counts, at
+most 16**5 per stratum.
 """
 
 from __future__ import annotations
@@ -16,8 +17,36 @@ from pyspark.sql import functions as F
 from tallyframe.functions.hashing import order_hash
 from tallyframe.functions.text import padded_id
 
-_HASH, _PIECE, _RANK = "_hash", "_piece", "_rank"
-_COUNT, _BEFORE, _TOTAL = "_count", "_before", "_total"
+PIECE_ROWS = 50_000
+_MAX_DIGITS = 5
+_MAX_BIG = 50_000
+
+_HASH, _GROUP, _PIECE, _RANK = "_hash", "_group", "_piece", "_rank"
+_DIGITS, _COUNT, _BEFORE, _TOTAL = "_digits", "_count", "_before", "_total"
+
+
+def _digits_for(rows: Column, piece_rows: int) -> Column:
+    """Hex digits that cut so many rows into pieces of about ``piece_rows``."""
+    pieces = F.greatest(rows / F.lit(piece_rows), F.lit(1.0))
+    return F.least(F.ceil(F.log(16.0, pieces)), F.lit(_MAX_DIGITS)).cast("int")
+
+
+def _with_digits(df: DataFrame, within: tuple[str, ...], piece_rows: int) -> DataFrame:
+    """Add the group as one struct (which joins null groups too) and the number
+    of digits that cut it."""
+    grouped = df.withColumn(_GROUP, F.struct(*[F.col(c) for c in within], F.lit(0).alias("_")))
+    if not within:
+        total = df.agg(F.count("*")).scalar()
+        return grouped.withColumn(_DIGITS, _digits_for(total, piece_rows))
+    sizes = grouped.groupBy(_GROUP).agg(F.count("*").alias(_COUNT))
+    total = sizes.agg(F.sum(_COUNT)).scalar()
+    # Fewer than _MAX_BIG groups can hold more than 1/_MAX_BIG of the rows
+    # each: that bounds what is broadcast.
+    share = F.greatest(F.lit(float(piece_rows)), total / F.lit(float(_MAX_BIG)))
+    big = sizes.where(F.col(_COUNT) > share).select(
+        _GROUP, _digits_for(F.col(_COUNT), piece_rows).alias(_DIGITS)
+    )
+    return grouped.join(F.broadcast(big), _GROUP, "left").na.fill(0, [_DIGITS])
 
 
 def shuffled_positions(
@@ -27,7 +56,7 @@ def shuffled_positions(
     within: tuple[str, ...] = (),
     position: str = "pos",
     total: str | None = None,
-    digits: int = 4,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Add the 0-based place of each row in the seeded shuffle.
 
@@ -35,24 +64,23 @@ def shuffled_positions(
     optional column for the size of the group.
     """
     hashed = df.withColumn(_HASH, order_hash(seed, key))
-    # One struct holds group and piece: as a join key it matches null groups,
-    # and the join and the rank share one partitioning.
-    piece = F.struct(*[F.col(c) for c in within], F.substring(_HASH, 1, digits).alias("_cut"))
-    rows = hashed.withColumn(_PIECE, piece)
-
-    group = [F.col(_PIECE)[c] for c in within]
-    ordered = Window.partitionBy(*group).orderBy(F.col(_PIECE)["_cut"])
-    sizes = rows.groupBy(_PIECE).agg(F.count("*").alias(_COUNT)).select(
+    sized = _with_digits(hashed, within, piece_rows or PIECE_ROWS)
+    cut = F.substr(F.col(_HASH), F.lit(1), F.col(_DIGITS))
+    rows = sized.withColumn(_PIECE, F.struct(F.col(_GROUP), cut.alias("cut"))).drop(_GROUP, _DIGITS)
+
+    group = F.col(_PIECE)[_GROUP]
+    ordered = Window.partitionBy(group).orderBy(F.col(_PIECE)["cut"])
+    pieces = rows.groupBy(_PIECE).agg(F.count("*").alias(_COUNT)).select(
         _PIECE,
         (F.sum(_COUNT).over(ordered) - F.col(_COUNT)).alias(_BEFORE),
-        F.sum(_COUNT).over(Window.partitionBy(*group)).alias(_TOTAL),
+        F.sum(_COUNT).over(Window.partitionBy(group)).alias(_TOTAL),
     )
 
     # Ranked before the join: the one shuffle of the rows is by piece, and the
     # small side that follows may be broadcast or merged as it comes.
     rank = F.row_number().over(Window.partitionBy(_PIECE).orderBy(_HASH, key))
     ranked = rows.withColumn(_RANK, rank)
-    placed = ranked.join(sizes, _PIECE).withColumn(
+    placed = ranked.join(pieces, _PIECE).withColumn(
         position, F.col(_BEFORE) + F.col(_RANK) - F.lit(1)
     )
     if total is not None:

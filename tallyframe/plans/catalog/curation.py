@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import curation as c
 from tallyframe.operators import positions as p
 from tallyframe.plans.catalog.registry import query, sql_hash
+from tallyframe.session import stored
 
 _COLUMNS = [
     ("nation", "n_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"),
@@ -236,10 +237,11 @@ def _d12(t):
     SELECT split, category, question, sql, printf('%s-%04d', split, row_number() OVER (
         PARTITION BY split ORDER BY {sql_hash(8, 'key')}, key) - 1) AS id FROM split""")
 def _d_build(t):
-    """Domains, templates, split and ids as one plan."""
+    """Domains, templates, split and ids. The split is written once, since the
+    numbering reads it several times."""
     key = F.concat_ws("/", "template_id", "question")
     keyed = _expanded(t).withColumn("key", key)
     parts = p.stratified_split(keyed, "category", "key", 0.2, 7)
-    cleaned = c.normalize_ws(parts, "sql")
+    cleaned = stored(c.normalize_ws(parts, "sql"), "examples")
     numbered = p.assign_ids(cleaned, F.col("split"), "key", 8, ("split",))
     return numbered.select("split", "category", "question", "sql", "id")

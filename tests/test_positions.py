@@ -16,7 +16,7 @@ def test_position_is_the_rank_of_the_hash(spark):
     want = {k: i for i, k in enumerate(sorted(keys, key=lambda k: (_hash(7, k), k)))}
     df = spark.range(3000).withColumnRenamed("id", "key")
     for layout in (df.repartition(1), df.repartition(8)):
-        got = p.shuffled_positions(layout, "key", 7, digits=1).collect()
+        got = p.shuffled_positions(layout, "key", 7, piece_rows=40).collect()
         assert {r.key: r.pos for r in got} == want
     ids = {r.key: r.id for r in p.assign_ids(df, "train", "key", 7).collect()}
     assert ids == {k: f"train-{i:04d}" for k, i in want.items()}
@@ -24,11 +24,12 @@ def test_position_is_the_rank_of_the_hash(spark):
     assert batches == {k: i // 16 for k, i in want.items()}
 
 
-def test_split_sizes_and_members(spark):
+def test_split_sizes_and_members(spark, monkeypatch):
     """Strata of 1, 2, 22 and 44 rows, one of them null; one holds most rows."""
     sizes = {"a": 1, "b": 2, None: 22, "d": 44, "hot": 500}
     rows = [(s, f"{s}{i}") for s, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "stratum string, key string")
+    monkeypatch.setattr(p, "PIECE_ROWS", 20)
     marked = p.stratified_split(df, "stratum", "key", 0.2, 7).collect()
     assert len(marked) == len(rows)
     for stratum, n in sizes.items():

@@ -18,7 +18,7 @@ def hot(spark):
 
 
 def test_hot_stratum_is_cut_into_pieces(hot):
-    placed = positions.shuffled_positions(hot, "id", 7, ("key",), total="n", digits=2)
+    placed = positions.shuffled_positions(hot, "id", 7, ("key",), total="n", piece_rows=500)
     top = placed.where("key = 0").agg(
         F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.max("n")
     ).first()
