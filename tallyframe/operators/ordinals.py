@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import stored
+
 _FINE = 4096
 
 
@@ -47,7 +49,8 @@ def values_at(
     """One row per group: ``by``, ``n`` and a column per pick.
 
     ``picks`` maps a column name to a function from the row count to the
-    0-based index in the sorted group. Rows with a null value do not count.
+    0-based index in the sorted group. Rows with a null value do not count. The
+    first pass over the rows runs when this is called.
     """
     rows = df.where(F.col(value).isNotNull()).select(
         F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("_g"),
@@ -77,21 +80,24 @@ def values_at(
     inside = (F.col("_w.at") >= F.col("_before")) & (
         F.col("_w.at") < F.col("_before") + F.col("_n")
     )
-    target = (
+    # One row per group and pick, written down: read back its size is known, so
+    # Spark sends it to the rows and shuffles them only if it is large.
+    target = stored(
         cuts.withColumn("_w", F.explode(wanted))
         .where(inside)
         .select(
             "_g", "_cut", "n", "_lo", "_hi",
             F.col("_w.pick").alias("_pick"),
             (F.col("_w.at") - F.col("_before")).alias("_k"),
-        )
+        ),
+        "ordinals",
     )
 
     keys = ("_g", "_pick")
-    near = rows.join(target, ["_g", "_cut"])
+    near = rows.join(target, ["_g", "_cut"]).withColumn("_pick", F.coalesce("_pick", F.lit("")))
     values = near.groupBy(*keys, "n", "_k", "_lo", "_hi", "_v").agg(F.count("*").alias("_n"))
-    # Never null, so the join below adds no filter and both readers of the
-    # values share one shuffle.
+    # Keys that cannot be null give the join below no filter to add, and both
+    # readers of the values share one shuffle.
     values = values.withColumn("_sub", F.coalesce(_fine(F.col("_v")), F.lit(0).cast("bigint")))
 
     subs = values.groupBy(*keys, "_k", "_sub").agg(F.sum("_n").alias("_n"))
