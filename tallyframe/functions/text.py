@@ -44,10 +44,16 @@ def starts_as_read(col: str | Column) -> Column:
     return _c(col).rlike(_STARTS)
 
 
+# Letters outside ASCII that a search without regard to case takes for i or s.
+_LOOKALIKES = ("\u017f", "\u0131", "\u0130")
+
+
 def _holds_any(col: str | Column, words: Iterable[str]) -> Column:
     """A plain search that spares most texts the regular expression."""
     lower = F.lower(_c(col))
-    return reduce(Column.__or__, [F.contains(lower, F.lit(w.lower())) for w in words])
+    plain = [F.contains(lower, F.lit(w.lower())) for w in words]
+    odd = [F.contains(_c(col), F.lit(c)) for c in _LOOKALIKES]
+    return reduce(Column.__or__, plain + odd)
 
 
 def has_write_word(col: str | Column) -> Column:

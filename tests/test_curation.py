@@ -1,5 +1,7 @@
 """Templates, counts, messages and token records on small inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tallyframe.operators import curation as c
@@ -38,6 +40,15 @@ def test_white_space_of_any_kind(spark):
     assert got == {i: " ".join(s.split()) for i, s in enumerate(texts)}
 
 
+def test_white_space_in_random_texts(spark):
+    rng = random.Random(11)
+    letters = "ab \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200bé"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    for i, got in c.normalize_ws(df, "s").collect():
+        assert got == " ".join(texts[i].split())
+
+
 def test_messages(spark):
     df = spark.createDataFrame([("q", "s"), ("q", None)], "question string, sql string")
     full, open_ = c.to_messages(df, "sys").orderBy(F.col("sql").isNull()).collect()

@@ -69,3 +69,9 @@ def test_counts_and_their_mean_share_a_shuffle(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or "Reused" in plan
+
+
+def test_ordinals_read_their_values_once(spark):
+    df = CATALOG["e10_latency_stats"](spark, FOLDER)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,10 @@ STATEMENTS = {
     "select updated_at from t": None,
     "SELECT 1; VACUUM": "word",
     "selection": "start",
+    "select 1; in\u017fert": "word",
+    "select \u0131nsert": "word",
+    "select éupdate, inserted": None,
+    "select éêç from t": None,
     "": "start",
 }
 
