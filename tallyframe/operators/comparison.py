@@ -81,11 +81,11 @@ def match_ordered(examples: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def match_results(examples: DataFrame, results: DataFrame) -> DataFrame:
-    """Verdicts for a mix: ``examples`` has ``example_id`` and ``ordered``."""
-    flags = examples.select("example_id", "ordered")
-    keyed = results.join(flags, "example_id").withColumn(
-        "_at", F.when(F.col("ordered"), F.col("pos"))
-    )
+    """Verdicts for a mix: ``examples`` has ``example_id`` and ``ordered``.
+    Rows that already carry ``ordered`` spare the join that looks it up."""
+    if "ordered" not in results.columns:
+        results = results.join(examples.select("example_id", "ordered"), "example_id")
+    keyed = results.withColumn("_at", F.when(F.col("ordered"), F.col("pos")))
     return _verdicts(examples, _unequal(keyed, "_at"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import curation as c
 from tallyframe.operators import positions as p
 from tallyframe.plans.catalog.registry import query, sql_hash
-from tallyframe.session import stored
+from tallyframe.plans.dataset import build_examples
 
 _COLUMNS = [
     ("nation", "n_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"),
@@ -227,21 +227,34 @@ def _d12(t):
     return p.assign_batches(t["events"].select("event_id"), "event_id", 8, 5)
 
 
+# Template T2 counts orders, T5 sales: the row counts come from one job each.
 @query("d_build_examples", f"""
     WITH {_SQL_EXPANDED},
     placed AS (SELECT *, template_id || '/' || question AS key FROM expanded),
     split AS (SELECT *, CASE WHEN rn <= greatest(1, round_even(n * 0.2::double, 0))
                              THEN 'eval' ELSE 'train' END AS split
         FROM (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (
-            PARTITION BY category ORDER BY {sql_hash(7, 'key')}, key) AS rn FROM placed))
-    SELECT split, category, question, sql, printf('%s-%04d', split, row_number() OVER (
-        PARTITION BY split ORDER BY {sql_hash(8, 'key')}, key) - 1) AS id FROM split""")
+            PARTITION BY category ORDER BY {sql_hash(7, 'key')}, key) AS rn FROM placed)),
+    counts AS (SELECT 'T2' AS template_id, o_orderstatus AS value, count(*) AS gold_row_count
+               FROM orders GROUP BY ALL
+               UNION ALL SELECT 'T5', p_brand, count(l_orderkey) FROM part
+               LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_brand)
+    SELECT split, category, question, sql, gold_row_count,
+        printf('%s-%04d', split, row_number() OVER (
+            PARTITION BY split ORDER BY {sql_hash(8, 'key')}, key) - 1) AS id
+    FROM split LEFT JOIN counts USING (template_id, value)""")
 def _d_build(t):
-    """Domains, templates, split and ids. The split is written once, since the
-    numbering reads it several times."""
-    key = F.concat_ws("/", "template_id", "question")
-    keyed = _expanded(t).withColumn("key", key)
-    parts = p.stratified_split(keyed, "category", "key", 0.2, 7)
-    cleaned = stored(c.normalize_ws(parts, "sql"), "examples")
-    numbered = p.assign_ids(cleaned, F.col("split"), "key", 8, ("split",))
-    return numbered.select("split", "category", "question", "sql", "id")
+    """Domains, templates, counts, split and ids."""
+    params = _params(t)
+    states = params.where(F.col("domain") == "o_orderstatus").select("value")
+    brands = params.where(F.col("domain") == "p_brand").select("value")
+    per_part = t["lineitem"].groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    sold = t["part"].join(per_part, "p_partkey").groupBy("p_brand").agg(
+        F.sum("n").alias("gold_row_count")
+    )
+    orders = c.lifted_counts(states, t["orders"], {"value": "o_orderstatus"})
+    sales = brands.join(sold.withColumnRenamed("p_brand", "value"), "value", "left").na.fill(0)
+    counts = orders.withColumn("template_id", F.lit("T2")).unionByName(
+        sales.withColumn("template_id", F.lit("T5"))
+    )
+    return build_examples(_templates(t), params, counts)

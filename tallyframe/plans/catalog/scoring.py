@@ -11,6 +11,7 @@ from tallyframe.operators import reporting as rep
 from tallyframe.operators import scoring as sc
 from tallyframe.plans.catalog.derived import PREDICTORS, SQL_SCORED, rounded, scored
 from tallyframe.plans.catalog.registry import query, sql_round
+from tallyframe.plans.evaluation import evaluate
 
 # Every document becomes a statement or a model answer; which kind follows from
 # its language, so all kinds occur.
@@ -370,3 +371,38 @@ def _e19(t):
                         F.posexplode("result_rows").alias("place", "row"))
     return flat.select("example_id", "place", F.array_join("row", "|").alias("cells"),
                        "result_row_count", "result_truncated")
+
+
+# Three predictors answer a question about the orders of each customer: one
+# returns the expected rows, one returns them the other way round, one is wrong.
+@query("e_evaluate_run", """
+    WITH g AS (SELECT c_custkey, c_mktsegment, c_mktsegment IN ('BUILDING', 'MACHINERY') AS ordered,
+                      count(o_orderkey) AS n, max(o_orderkey) AS top
+               FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT predictor, c_mktsegment AS category, count(*) AS n, avg(CASE predictor
+            WHEN 'echo' THEN 1 WHEN 'wrong' THEN 0
+            ELSE (NOT ordered OR n = 0 OR (n = 1 AND top = 0))::integer END) AS accuracy
+    FROM g, (VALUES ('echo'), ('reversed'), ('wrong')) p(predictor) GROUP BY ALL""")
+def _evaluate(t):
+    examples = t["customer"].select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("Orders of "), "c_name").alias("question"),
+        F.col("c_mktsegment").alias("category"), F.expr(_ORDER_TEXT).alias("sql"),
+    )
+    names = F.explode(F.array(*[F.lit(n) for n in ("echo", "reversed", "wrong")]))
+    nothing = F.lit(None).cast("string")
+    predictions = examples.select(
+        "id", "sql", names.alias("predictor"), nothing.alias("error"), nothing.alias("run_error")
+    )
+    orders = t["orders"].select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"),
+                                cmp.pack_cells(t["orders"], ["o_totalprice"]).alias("cells"))
+    zero = examples.select(F.lit("wrong").alias("predictor"), "id", F.lit(0).cast("bigint").alias("pos"),
+                           F.array(F.lit("n:0")).alias("cells"))
+    predicted = (
+        orders.withColumn("predictor", F.lit("echo"))
+        .unionByName(orders.withColumn("pos", -F.col("pos")).withColumn("predictor", F.lit("reversed")))
+        .unionByName(zero)
+    )
+    result = evaluate(examples, predictions, orders, predicted)
+    return result.groupBy("predictor", "category").agg(
+        F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy")
+    )

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import calllog, reporting, scoring
+from tallyframe.plans.evaluation import evaluate
 
 STATEMENTS = {
     "select replace(a,b) from t": "word",
@@ -228,3 +230,26 @@ def test_preview_and_cap(spark):
     assert (got["f"].result_row_count, got["f"].result_truncated) == (1, False)
     capped = reporting.capped(spark.range(10), 3, ["id"]).collect()
     assert [tuple(r) for r in capped] == [(0, 10, True), (1, 10, True), (2, 10, True)]
+
+
+def test_gold_scores_all_and_nonsense_none(spark):
+    """A predictor that returns the expected rows must reach 100 %, one that
+    returns a single zero must stay at 0 %."""
+    examples = spark.createDataFrame(
+        [(i, f"q{i}", "c", "SELECT a FROM t ORDER BY a" if i % 2 else "SELECT a FROM t") for i in range(6)],
+        "id int, question string, category string, sql string",
+    )
+    predictions = spark.createDataFrame(
+        [(i, p, "SELECT 1", None, None) for i in range(6) for p in ("gold", "zero")],
+        "id int, predictor string, sql string, error string, run_error string",
+    )
+    gold = [(i, k, [f"n:{k}00"]) for i in range(1, 6) for k in range(1, i + 1)]
+    rows = spark.createDataFrame(gold, "id int, pos bigint, cells array<string>")
+    zero = spark.createDataFrame([(i, 1, ["n:0"]) for i in range(6)], rows.schema)
+    predicted = rows.withColumn("predictor", F.lit("gold")).unionByName(
+        zero.withColumn("predictor", F.lit("zero"))
+    )
+    scored = evaluate(examples, predictions, rows, predicted)
+    got = {r.predictor: r.share for r in scored.groupBy("predictor").agg(
+        F.avg(F.col("correct").cast("int")).alias("share")).collect()}
+    assert got == {"gold": 1.0, "zero": 0.0}
