@@ -46,6 +46,7 @@ class Params:
     rows: int = 4
     universe_bits: int = 20
     seed: int = 11
+    prunings: int = 2  # rounds of step 5
 
 
 @lru_cache(maxsize=2)
@@ -222,30 +223,45 @@ def class_links(classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     grouped = stored(_shared_buckets(grouped, "comp"), "grouped")
     if not grouped.limit(1).count():
         return labels
+    for _ in range(p.prunings):
+        left = _prunable(grouped, sets, p)
+        grouped = stored(left, "open")
+    # A pair that shares several buckets is met in the lowest of them only.
+    sides = grouped.join(classes.select("cid", "bands"), "cid")
+    x, y = (
+        sides.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in ("cid", "n", "comp", "common", "bands")))
+        for side in ("x", "y")
+    )
+    met_first = F.array_min(F.array_intersect("x_bands", "y_bands")) == x["bucket"]
+    rest = (
+        x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_cid") < F.col("y_cid"))
+               & _reachable("x", "y", p.percent) & met_first)
+        .select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"))
+        .join(pairs, ["a", "b"], "left_anti")
+    )
+    more = stored(_verified(stored(rest, "rest"), sets, p.percent), "links")
+    return components(links.union(more)) if more.limit(1).count() else labels
+
+
+def _prunable(grouped: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The rows (bucket, cid, n, comp, common) of ``grouped`` that can still be
+    linked to another component: ``common`` counts the shingles of a class that
+    some other component of these rows has, too."""
     open_sets = sets.join(grouped.select("cid", "comp").distinct(), "cid")
-    crossing = (
+    inner = (
         _exploded(open_sets, "cid", "comp").groupBy("shingle")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df"), F.min("cid").alias("cid"), F.max("cid").alias("cid2"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df"),
+             F.min("cid").alias("cid"), F.max("cid").alias("cid2"))
+        .where("lo = hi")
     )
-    # Shingles of a single component cannot link two: count them by class. Most
-    # belong to one or two classes; the others are joined back.
-    inner = crossing.where("lo = hi")
+    # Most shingles of one component have one or two classes; others are joined back.
     few = inner.where("df <= 2").select(F.explode(F.array_distinct(F.array("cid", "cid2"))).alias("cid"))
     many = _exploded(open_sets, "cid").join(inner.where("df > 2").select("shingle"), "shingle").select("cid")
     own = few.union(many).groupBy("cid").agg(F.count("*").alias("own"))
-    left = grouped.join(own, "cid", "left").select(
+    left = grouped.select("bucket", "cid", "n", "comp").join(own, "cid", "left").select(
         "bucket", "cid", "n", "comp", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")
     ).where(F.col("common") * 100 >= F.col("n") * p.percent)
-    left = stored(_shared_buckets(left, "comp"), "open")
-    x = left.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "common")))
-    y = left.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("cid", "n", "comp", "common")))
-    rest = (
-        x.join(y, "bucket").where("x_comp <> y_comp and x_cid < y_cid").where(_reachable("x", "y", p.percent))
-        .select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = stored(_verified(stored(rest, "rest"), sets, p.percent), "links")
-    return components(links.union(more)) if more.limit(1).count() else labels
+    return _shared_buckets(left, "comp")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
