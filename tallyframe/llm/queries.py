@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import reachable
-from tallyframe.llm import chat, tokens
+from tallyframe.llm import chat, oracle, reachable, tokens
 from tallyframe.llm.decontamination import contamination
 from tallyframe.llm.html_text import extracted
 from tallyframe.llm.near_dup import near_duplicates
@@ -82,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_round_trip_chat,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_suffix_decontamination": oracle.DECONTAMINATION,
+    "op5_circulant_near_dup": oracle.NEAR_DUPLICATES,
+    "op9_prefix_free_repeats": oracle.REPEATS,
+    "op10_round_trip_chat": oracle.CHAT,
+}
