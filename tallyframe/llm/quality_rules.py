@@ -24,6 +24,12 @@ THRESHOLD = -0.1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _once(column: Column) -> Column:
+    """The same values, but never moved into another expression: a filter that
+    is pushed down would else compute the array again for each of its elements."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _SPACE), "")
 
@@ -46,7 +52,7 @@ def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sc
     marks = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
     told = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     counts = (
-        told.select(_words("text").alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+        told.select(_once(_words("text")).alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
         .select(F.explode(_cells(buckets)).alias("cell"), "trusted")
         .groupBy("cell").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
         .collect()
@@ -76,17 +82,17 @@ def text_counts(docs: DataFrame) -> DataFrame:
     ))
     same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
     return (
-        docs.withColumn("words", _words("text")).withColumn("lines", lines)
+        docs.withColumn("words", _once(_words("text"))).withColumn("lines", lines)
         .withColumn("n_words", F.size("words").cast("bigint"))
         .withColumn("word_chars", F.length(F.array_join("words", "")).cast("bigint"))
         .withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
         .drop("lines")
-        .withColumn("windows", F.when(F.size("words") >= 3, windows))
-        .withColumn("again", F.sort_array(F.transform(
+        .withColumn("windows", _once(F.when(F.size("words") >= 3, windows)))
+        .withColumn("again", _once(F.sort_array(F.transform(
             F.filter("windows", lambda x, i: same(x, F.get("windows", i - 1)) | same(x, F.get("windows", i + 1))),
             lambda x: x["p"],
-        )))
+        ))))
         # A window covers three words, fewer where the next repeated one begins earlier.
         .withColumn("n_repeat_words", F.coalesce(F.aggregate(
             F.transform("again", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("again", i + 1) - p, F.lit(3)))),
@@ -111,7 +117,7 @@ def quality_rules(
     """
     weights = cell_weights(docs, trusted, buckets, scale)
     table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
-    scored = text_counts(docs.select("doc_id", "text")).withColumn("cells", _cells(buckets)).withColumn(
+    scored = text_counts(docs.select("doc_id", "text")).withColumn("cells", _once(_cells(buckets))).withColumn(
         "total", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + F.get(table, c))
     )
     return scored.select(
