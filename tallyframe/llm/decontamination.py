@@ -134,6 +134,8 @@ def _occurrences(index: Index, codes: np.ndarray, row_end: np.ndarray) -> tuple[
 
 def _longest(index: Index, window: np.ndarray, at: np.ndarray, row: np.ndarray, first: np.ndarray) -> dict:
     """(row, item) -> (words, word in the row, word in the item), the first longest."""
+    if not len(window):
+        return {}
     uses = np.diff(index.use_of)[window]
     which = np.repeat(np.arange(len(window)), uses)
     use = index.use_of[window][which] + np.arange(len(which)) - (np.cumsum(uses) - uses)[which]
@@ -142,8 +144,7 @@ def _longest(index: Index, window: np.ndarray, at: np.ndarray, row: np.ndarray,
     item, word, pos, size = item[order], word[order], pos[order], size[order]
     doc = row[pos]
     new = np.ones(len(pos), bool)
-    if len(pos):
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(pos) != 1) | (np.diff(word) != 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(pos) != 1) | (np.diff(word) != 1)
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(pos)) - 1
     best: dict = {}
