@@ -218,14 +218,13 @@ def class_links(classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     labels = components(links)
 
     grouped = members.join(labels, members.cid == labels.node, "left").select(
-        "bucket", "cid", "n", F.coalesce("comp", "cid").alias("comp")
+        "bucket", "cid", "n", F.coalesce("comp", "cid").alias("comp"), F.col("n").alias("common")
     )
     grouped = stored(_shared_buckets(grouped, "comp"), "grouped")
     if not grouped.limit(1).count():
         return labels
     for _ in range(p.prunings):
-        left = _prunable(grouped, sets, p)
-        grouped = stored(left, "open")
+        grouped = stored(_prunable(grouped, sets, p), "open")
     # A pair that shares several buckets is met in the lowest of them only.
     sides = grouped.join(classes.select("cid", "bands"), "cid")
     x, y = (
