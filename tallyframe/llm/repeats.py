@@ -38,7 +38,7 @@ from tallyframe.llm import units
 from tallyframe.session import stored
 
 GRAM = 16
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 
 
 def entries(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from tallyframe.llm import units
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 600_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
