@@ -52,12 +52,14 @@ def first_rows(df: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
     Each map task keeps only its own first ``k`` rows of a group before the
     shuffle (the filter on the rank makes Spark do that); the total is a
     separate pre-aggregated count, since a window count would need all rows.
+    Rows with a null ``by`` are a group of their own.
     """
     ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    counts = df.groupBy(by).agg(F.count("*").alias("total"))
+    counts = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("total"))
     return (
         ranked.where(F.col("place") <= k)
-        .join(counts, by)
+        .join(counts, F.col(by).eqNullSafe(F.col("_by")))
+        .drop("_by")
         .withColumn("remaining", F.greatest(F.col("total") - k, F.lit(0)))
     )
 

@@ -23,7 +23,11 @@ def refusal(col: str) -> Column:
     writes = F.concat(
         F.lit("SQL contains a forbidden write/DDL keyword: "), quoted(F.substring(sql, 1, 120))
     )
-    return F.when(~starts_as_read(col), not_a_read).when(has_write_word(col), writes)
+    return (
+        F.when(sql.isNull(), F.lit("there is no statement"))
+        .when(~starts_as_read(col), not_a_read)
+        .when(has_write_word(col), writes)
+    )
 
 
 def screen_statements(df: DataFrame, col: str) -> DataFrame:
@@ -38,9 +42,11 @@ def extract_sql(df: DataFrame, col: str, out: str = "sql") -> DataFrame:
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the greatest ``order``."""
+    """One row per key, the one with the greatest ``order``; a null order comes
+    before all others, so a key with null orders only keeps a row as well."""
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
 

@@ -10,7 +10,8 @@ EXAMPLE_SCHEMA = (
 
 
 def read_examples(spark: SparkSession, path: str | list[str], schema: str = EXAMPLE_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """Examples; a malformed line or a value of another type is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_examples(df: DataFrame, path: str, mode: str = "overwrite") -> None:

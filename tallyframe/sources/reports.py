@@ -19,8 +19,9 @@ REPORT_SCHEMA = (
 
 def read_reports(spark: SparkSession, paths: str | list[str], one_per_file: bool = True) -> DataFrame:
     """Nested reports. ``one_per_file`` reads files that hold one (indented)
-    object each; otherwise each line is a report."""
-    return spark.read.schema(REPORT_SCHEMA).option("multiLine", one_per_file).json(paths)
+    object each; otherwise each line is a report. Malformed content is an error."""
+    read = spark.read.schema(REPORT_SCHEMA).option("multiLine", one_per_file)
+    return read.option("mode", "FAILFAST").json(paths)
 
 
 def report_failures(reports: DataFrame) -> DataFrame:
