@@ -39,7 +39,7 @@ def rounded_or_zero(col: Column, places: int) -> Column:
 
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_REAL = (T.FloatType, T.DoubleType, T.DecimalType)
+_REAL = (T.FloatType, T.DoubleType)
 
 # Above this size neighbouring doubles are further apart than a cent.
 _CENTS_LIMIT = float(2**46)
@@ -52,7 +52,9 @@ def _cents(value: Column) -> Column:
 def round_cell(col: Column, dtype: T.DataType) -> Column:
     """Reals to two places (half a cent goes to the even cent), minus zero as
     zero; everything else unchanged."""
-    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+    if isinstance(dtype, T.DecimalType):
+        return F.bround(col, 2)
+    if not isinstance(dtype, _REAL):
         return col
     value = col.cast("double")
     return F.when(F.abs(value) < _CENTS_LIMIT, _cents(value) / F.lit(100.0)).otherwise(value)
@@ -76,11 +78,16 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
         value = col.cast("double")
         cents = _cents(value).cast("string")
         wide = (value.cast("bigint").cast("decimal(20,0)") * 100).cast("string")
-        whole = (F.abs(value) < 9.2e18) & (F.rint(value) == value)
+        whole = (value >= -float(2**63)) & (value < float(2**63)) & (F.rint(value) == value)
         text = (
             F.when(F.abs(value) < _CENTS_LIMIT, cents)
             .when(whole, wide)
             .otherwise(value.cast("string"))
         )
         return F.concat(number, text)
+    if isinstance(dtype, T.DecimalType):
+        # Exact: the digits of the rounded value, with the point moved out of the text.
+        places = min(dtype.scale, 2)
+        digits = F.translate(F.bround(col, 2).cast("string"), ".", "")
+        return F.concat(number, F.regexp_replace(F.concat(digits, F.lit("0" * (2 - places))), "^(-?)0+(?=[0-9])", "$1"))
     return F.concat(F.lit("s:"), col.cast("string"))

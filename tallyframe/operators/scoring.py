@@ -61,25 +61,27 @@ def token_cost(df: DataFrame, prices: DataFrame, key: str = "model") -> DataFram
 
 
 def score(examples: DataFrame, predictions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One scored row per prediction.
+    """One scored row per prediction, also where no example has its id.
 
     ``predictions`` has id, predictor, sql, error (the predictor failed) and
     run_error (its statement failed); ``verdicts`` has id, predictor, matched.
-    The first of predictor error, refused statement and failed statement
-    explains a miss; a plain mismatch has no text.
+    The first of unknown id, predictor error, refused statement and failed
+    statement explains a miss; a plain mismatch has no text.
     """
-    gold = examples.select("id", "question", "category", F.col("sql").alias("gold_sql"))
+    gold = examples.select("id", "question", "category", F.col("sql").alias("gold_sql"), F.lit(True).alias("known"))
+    unknown = F.when(F.col("known").isNull(), F.lit("no example with this id"))
     failed = F.when(F.col("error") != "", F.concat(F.lit("predictor error: "), F.col("error")))
     refused = F.coalesce(refusal("gold_sql"), refusal("sql"))
     explained = F.coalesce(
+        unknown,
         failed,
         F.concat(F.lit("rejected unsafe SQL: "), refused),
         F.concat(F.lit("execution error: "), F.col("run_error")),
     )
-    joined = predictions.join(gold, "id").join(verdicts, ["id", "predictor"], "left")
+    joined = predictions.join(gold, "id", "left").join(verdicts, ["id", "predictor"], "left")
     scored = joined.withColumn("exec_error", explained)
     correct = F.col("exec_error").isNull() & F.coalesce(F.col("matched"), F.lit(False))
-    return scored.withColumn("correct", correct).drop("error", "run_error", "matched")
+    return scored.withColumn("correct", correct).drop("error", "run_error", "matched", "known")
 
 
 def _share(col: str = "correct") -> Column:

@@ -57,14 +57,13 @@ def _c06(t):
 
 @query("c06_self_reference", """
     WITH x AS (SELECT conv_id * 1000000 + turn AS me,
-                      CASE WHEN turn > 0 THEN conv_id * 1000000 + turn - 1 END AS boss, role
+                      CASE WHEN turn > 0 AND turn % 3 = 2 THEN -1 - conv_id
+                           WHEN turn > 0 THEN conv_id * 1000000 + turn - 1 END AS boss
                FROM conversations)
-    SELECT 'assistants.boss references me' AS rule, count(*) AS violations FROM x
-    WHERE role = 'assistant' AND boss IS NOT NULL
-      AND boss NOT IN (SELECT me FROM x WHERE role = 'assistant')""")
+    SELECT 'turns.boss references me' AS rule, count(*) AS violations FROM x
+    WHERE boss IS NOT NULL AND boss NOT IN (SELECT me FROM x)""")
 def _c06_self(t):
     me = F.col("conv_id") * 1_000_000 + F.col("turn")
-    turns = t["conversations"].where(F.col("role") == "assistant").select(
-        me.alias("me"), F.when(F.col("turn") > 0, me - 1).alias("boss")
-    )
-    return c.check_foreign_key(turns, "boss", turns, "me", "assistants")
+    lost = F.when(F.col("turn") % 3 == 2, -1 - F.col("conv_id")).otherwise(me - 1)
+    turns = t["conversations"].select(me.alias("me"), F.when(F.col("turn") > 0, lost).alias("boss"))
+    return c.check_foreign_key(turns, "boss", turns, "me", "turns")

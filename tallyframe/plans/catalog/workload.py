@@ -162,13 +162,15 @@ def _q17(t):
 
 
 @query("q18_customers_without_orders", """
-    SELECT c_name AS name FROM customer LEFT JOIN (
-        SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01') o
-    ON o_custkey = c_custkey WHERE o_orderkey IS NULL""")
+    SELECT 'order ' || o_orderkey AS name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE l_orderkey IS NULL""")
 def _q18(t):
-    shop = _shop(t)
-    early = F.col("order_date") < F.lit("1995-07-01").cast("timestamp_ntz")
-    return w.q18_customers_without_orders(shop.using(orders=shop["orders"].where(early)))
+    """Every customer ordered, so orders play customers and their lines play orders."""
+    customers = t["orders"].select(
+        F.col("o_orderkey").alias("customer_id"), F.concat_ws(" ", F.lit("order"), "o_orderkey").alias("name")
+    )
+    orders = t["lineitem"].select(F.col("l_orderkey").alias("customer_id"))
+    return w.q18_customers_without_orders(_shop(t, customers=customers, orders=orders))
 
 
 @query("q19_products_without_reviews", """

@@ -1,4 +1,5 @@
-"""The call log: an append-only parquet table with a folder per day."""
+"""The call log: an append-only parquet table with a folder per day, and in it
+one for batch appends and one for each batch of a stream."""
 
 from __future__ import annotations
 
@@ -40,8 +41,9 @@ def append_calls(df: DataFrame, path: str) -> None:
     """Append to the day folders. Rows are gathered by day first, a large day
     split again by size, so a folder gets few files however many tasks ran.
     Ids are drawn after that shuffle, so a repeated map task changes nothing."""
-    as_calls(_dated(df).hint("rebalance", "day")).write.mode("append").partitionBy("day").parquet(path)
+    rows = as_calls(_dated(df).hint("rebalance", "day")).withColumn("batch", F.lit("append"))
+    rows.write.mode("append").partitionBy("day", "batch").parquet(path)
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{CALL_SCHEMA}, day date").parquet(path)
+    return spark.read.schema(f"{CALL_SCHEMA}, day date, batch string").parquet(path).drop("batch")

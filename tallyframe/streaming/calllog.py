@@ -1,13 +1,18 @@
 """Append calls to the log as they arrive.
 
 The log grows call by call; as a stream this is one incremental append. The
-checkpoint records which input files are done, and the file sink commits each
-batch once, so a restart neither loses nor repeats calls.
+checkpoint records which input files are done. Each batch goes to partitions of
+its own, which a repeated batch overwrites, so a restart neither loses nor
+repeats calls. The log keeps no list of committed files: readers see what batch
+jobs append to it as well.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyframe.sources.calllog import CALL_SCHEMA, as_calls
@@ -19,14 +24,23 @@ def stream_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_stream(calls: DataFrame, log: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start the append. ``once`` takes all that is there and stops."""
-    writer = (
-        as_calls(calls)
-        .writeStream.format("parquet")
-        .partitionBy("day")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-    )
+    """Start the append. ``once`` takes all that is there and stops.
+
+    The checkpoint's path names the stream's batches, so streams that write to
+    one log need a checkpoint each, given alike at every start."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumn("batch", F.lit(f"{stream}-{number}"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch")
+            .parquet(log)
+        )
+
+    # Ids and times are filled in before the batch: its time is kept in the checkpoint.
+    writer = as_calls(calls).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start(log)
+    return writer.start()

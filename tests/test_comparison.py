@@ -144,3 +144,23 @@ def test_every_result_matches_itself(spark):
         cmp.result_rows(wrong, "e", "pred", ["v"], "pos")
     )
     assert cmp.match_unordered(examples, both).where("matched").count() == 0
+
+
+def test_decimals_keep_their_digits_and_wide_numbers_agree(spark):
+    from pyspark.sql import types as T
+
+    from tallyframe.functions.values import cell_text, round_cell
+
+    def text(value, dtype):
+        return spark.range(1).select(cell_text(F.expr(f"CAST({value} AS {dtype.simpleString()})"), dtype)).first()[0]
+
+    wide = T.DecimalType(22, 2)
+    assert text("'12345678901234567890.12'", wide) != text("'12345678901234567890.98'", wide)
+    for dtype in (T.DecimalType(5, 0), T.DecimalType(6, 1), T.DecimalType(9, 4), T.LongType(), T.DoubleType()):
+        assert text("'5'", dtype) == "n:500"
+        assert text("'0'", dtype) == "n:0"
+        assert text("'-7'", dtype) == "n:-700"
+    assert text("'-0.05'", T.DecimalType(9, 4)) == text("'-0.05'", T.DoubleType()) == "n:-5"
+    assert text("'9223372036854773760'", T.LongType()) == text("'9223372036854773760'", T.DoubleType())
+    rounded = spark.range(1).select(round_cell(F.expr("CAST('0.125' AS decimal(9,4))"), T.DecimalType(9, 4))).first()[0]
+    assert str(rounded) == "0.12"

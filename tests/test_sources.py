@@ -57,6 +57,12 @@ def test_call_log_in_batches_and_as_a_stream(spark, tmp_path):
         assert calllog.read_calls(spark, stream_log).count() == expected
     assert str(calllog.read_calls(spark, stream_log).first().day) == "2024-01-02"
 
+    # Batch appends before, between and after the batches of a stream all stay.
+    for expected in (3, 4):
+        calllog.append_calls(late, stream_log)
+        append_stream(stream_calls(spark, landing), stream_log, progress).awaitTermination()
+        assert calllog.read_calls(spark, stream_log).count() == expected
+
 
 def test_tables_and_parameters(spark, tmp_path):
     t = {"a": spark.range(5).withColumn("name", F.lit("it's"))}
