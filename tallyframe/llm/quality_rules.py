@@ -50,7 +50,8 @@ def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sc
     Without trusted documents every weight is 0.
     """
     marks = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
-    told = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    # Labels grow with the corpus: one way to join them at every size.
+    told = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")
     counts = (
         told.select(_once(_words("text")).alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
         .select(F.explode(_cells(buckets)).alias("cell"), "trusted")
