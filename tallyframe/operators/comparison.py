@@ -89,6 +89,37 @@ def match_results(examples: DataFrame, results: DataFrame) -> DataFrame:
     return _verdicts(examples, _unequal(keyed, "_at"))
 
 
+def match_predictors(flags: DataFrame, asked: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Verdicts (id, predictor, matched) of ``asked`` (id, predictor), where all
+    predictors share the gold rows.
+
+    ``flags``: id, ordered. ``gold``: id, pos, cells. ``predicted``: the same
+    with predictor. Gold rows are counted once whatever the number of
+    predictors: a result matches when each of its rows occurs as often in gold,
+    and both have equally many rows.
+    """
+    at = F.when(F.col("ordered"), F.col("pos")).alias("_at")
+    keys = ["id", "_at", "cells"]
+    known = gold.join(flags, "id").select("id", at, "cells").groupBy(*keys).agg(F.count("*").alias("_gold"))
+    totals = known.groupBy("id").agg(F.sum("_gold").alias("_all"))
+    made = (
+        predicted.join(flags, "id").select("id", "predictor", at, "cells")
+        .groupBy("predictor", *keys).agg(F.count("*").alias("_made"))
+    )
+    k, m = known.alias("k"), made.alias("m")
+    same_row = [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys]
+    differs = F.col("_gold").isNull() | (F.col("_gold") != F.col("_made"))
+    sums = (
+        m.join(k, same_row, "left").groupBy("m.id", "m.predictor")
+        .agg(F.sum("_made").alias("_rows"), F.count_if(differs).alias("_bad"))
+    )
+    matched = (F.coalesce("_bad", F.lit(0)) == 0) & (F.coalesce("_rows", F.lit(0)) == F.coalesce("_all", F.lit(0)))
+    return (
+        asked.join(sums, ["id", "predictor"], "left").join(totals, "id", "left")
+        .select("id", "predictor", matched.alias("matched"))
+    )
+
+
 def same_result(gold: DataFrame, pred: DataFrame, order_by: str | None = None) -> DataFrame:
     """One row: do two results agree? ``order_by`` names the position column
     of both sides when the order counts; it is not a cell itself."""

@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 
 def divide(
-    candidates: DataFrame, pairs: DataFrame, needed: DataFrame, key: str, value: str
+    candidates: DataFrame, pairs: DataFrame, needed: DataFrame, key: str, value: str, covered: bool = False
 ) -> DataFrame:
     """Candidates whose ``pairs`` cover all of ``needed``; with nothing needed,
     all of them.
 
     Counts the distinct needed values per key and compares with their number,
-    so no candidate is multiplied by the needed set.
+    so no candidate is multiplied by the needed set. ``covered`` says that
+    ``pairs`` hold no other values (nulls aside), and spares a look at them.
     """
     needed = needed.select(value).where(F.col(value).isNotNull()).distinct()
-    covered = (
-        pairs.select(key, value)
-        .join(needed, value, "left_semi")
-        .distinct()
-        .groupBy(key)
-        .agg(F.count("*").alias("_covered"))
-    )
+    met = pairs.select(key, value)
+    met = met.where(F.col(value).isNotNull()) if covered else met.join(needed, value, "left_semi")
+    counts = met.distinct().groupBy(key).agg(F.count("*").alias("_covered"))
     total = needed.agg(F.count("*")).scalar()
     full = F.coalesce(F.col("_covered"), F.lit(0)) == total
-    return candidates.join(covered, key, "left").where(full).drop("_covered")
+    return candidates.join(counts, key, "left").where(full).drop("_covered")

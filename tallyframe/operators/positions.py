@@ -57,17 +57,22 @@ def shuffled_positions(
     position: str = "pos",
     total: str | None = None,
     piece_rows: int | None = None,
+    in_order: bool = False,
 ) -> DataFrame:
     """Add the 0-based place of each row in the seeded shuffle.
 
     ``key`` must be unique within each group of ``within``. ``total`` names an
-    optional column for the size of the group.
+    optional column for the size of the group. ``in_order`` also returns the
+    rows ordered by group and place: pieces are then dealt by range, which the
+    ranks and the order share, so the rows are still shuffled once.
     """
     hashed = df.withColumn(_HASH, order_hash(seed, key))
     sized = _with_digits(hashed, within, piece_rows or PIECE_ROWS)
     cut = F.substr(F.col(_HASH), F.lit(1), F.col(_DIGITS))
     rows = sized.withColumn(_PIECE, F.struct(F.col(_GROUP), cut.alias("cut"))).drop(_GROUP, _DIGITS)
 
+    if in_order:
+        rows = rows.repartitionByRange(_PIECE)
     group = F.col(_PIECE)[_GROUP]
     ordered = Window.partitionBy(group).orderBy(F.col(_PIECE)["cut"])
     pieces = rows.groupBy(_PIECE).agg(F.count("*").alias(_COUNT)).select(
@@ -80,9 +85,13 @@ def shuffled_positions(
     # small side that follows may be broadcast or merged as it comes.
     rank = F.row_number().over(Window.partitionBy(_PIECE).orderBy(_HASH, key))
     ranked = rows.withColumn(_RANK, rank)
+    if in_order and not within:
+        pieces = F.broadcast(pieces)  # at most 16**_MAX_DIGITS rows of two numbers
     placed = ranked.join(pieces, _PIECE).withColumn(
         position, F.col(_BEFORE) + F.col(_RANK) - F.lit(1)
     )
+    if in_order:
+        placed = placed.orderBy(_PIECE, _HASH, key)
     if total is not None:
         placed = placed.withColumn(total, F.col(_TOTAL))
     return placed.drop(_HASH, _PIECE, _RANK, _BEFORE, _TOTAL)
@@ -90,7 +99,7 @@ def shuffled_positions(
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in shuffled order, with their place in ``pos``."""
-    return shuffled_positions(df, key, seed).orderBy("pos")
+    return shuffled_positions(df, key, seed, in_order=True)
 
 
 def stratified_split(

@@ -245,7 +245,7 @@ def _q23_brand(t):
         shop["orders"].select("order_id", "customer_id"), "order_id"
     )
     customers = shop["customers"].select("customer_id", "name")
-    return divide(customers, pairs, brands, "customer_id", "brand").select("name")
+    return divide(customers, pairs, brands, "customer_id", "brand", covered=True).select("name")
 
 
 @query("q23_nothing_needed", """

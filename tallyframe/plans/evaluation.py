@@ -5,32 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.comparison import flag_ordered, match_results
+from tallyframe.operators.comparison import flag_ordered, match_predictors
 from tallyframe.operators.scoring import score
 
 
+def _settled(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: of several, the one with the greatest values, compared
+    column by column as they stand (a null is least)."""
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def every_answer(examples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One prediction for each example and predictor, and those of unknown ids.
+
+    An example that a predictor left out gets a row with the error "no
+    prediction". The list of predictors has one entry per model.
+    """
+    names = predictions.agg(F.collect_set("predictor")).scalar()
+    due = examples.select("id", F.explode(names).alias("predictor"))
+    made = _settled(predictions, "id", "predictor").withColumn("_made", F.lit(True))
+    missing = F.when(F.col("_made").isNull(), F.lit("no prediction")).otherwise(F.col("error"))
+    return due.join(made, ["id", "predictor"], "full").withColumn("error", missing).drop("_made")
+
+
 def evaluate(
     examples: DataFrame,
     predictions: DataFrame,
     gold_rows: DataFrame,
     predicted_rows: DataFrame,
 ) -> DataFrame:
-    """Score every prediction of every predictor in one plan.
+    """Score every example for every predictor, once, in one plan.
 
     ``examples``: id, question, category, sql. ``predictions``: id, predictor,
     sql, latency_ms, cost_usd, error, run_error. ``gold_rows``: id, pos, cells,
-    once per example. ``predicted_rows``: predictor, id, pos, cells.
+    once per example. ``predicted_rows``: predictor, id, pos, cells. Of rows that
+    repeat an id (and predictor), the one with the greatest values counts.
     """
+    examples = _settled(examples, "id")
+    answers = every_answer(examples, predictions)
     flags = flag_ordered(examples).select("id", "ordered")
-    asked = predictions.select("id", "predictor").join(flags, "id")
-    example = F.struct("id", "predictor").alias("example_id")
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(example, F.lit(name).alias("side"), "pos", "cells", "ordered")
-
-    gold = side(gold_rows.join(asked, "id"), "gold")
-    predicted = side(predicted_rows.join(asked, ["id", "predictor"]), "pred")
-    verdicts = match_results(
-        asked.select(example, "ordered"), gold.unionByName(predicted)
-    ).select("example_id.id", "example_id.predictor", "matched")
-    return score(examples, predictions, verdicts)
+    asked = answers.select("id", "predictor")
+    verdicts = match_predictors(flags, asked, gold_rows, predicted_rows)
+    return score(examples, answers, verdicts)

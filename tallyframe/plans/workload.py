@@ -205,7 +205,7 @@ def q23_bought_every_product(shop: Shop, category: str) -> DataFrame:
     wanted = items.join(products, "product_id", "left_semi").distinct()
     orders = shop["orders"].select("order_id", "customer_id")
     pairs = wanted.join(orders, "order_id")
-    return divide(_names(shop), pairs, products, "customer_id", "product_id").select("name")
+    return divide(_names(shop), pairs, products, "customer_id", "product_id", covered=True).select("name")
 
 
 # ---- dates ----

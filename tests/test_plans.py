@@ -77,3 +77,14 @@ def test_ordinals_read_their_values_once(spark):
     df = CATALOG["e10_latency_stats"](spark, FOLDER)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffled_order_deals_the_rows_once(spark):
+    plan = _plan(spark, "d06_seeded_shuffle")
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning(_piece" not in plan.split("BroadcastExchange")[0]
+
+
+def test_gold_is_read_once_for_all_predictors(spark):
+    df = CATALOG["e_evaluate_run"](spark, FOLDER)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
