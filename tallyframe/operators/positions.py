@@ -71,8 +71,6 @@ def shuffled_positions(
     cut = F.substr(F.col(_HASH), F.lit(1), F.col(_DIGITS))
     rows = sized.withColumn(_PIECE, F.struct(F.col(_GROUP), cut.alias("cut"))).drop(_GROUP, _DIGITS)
 
-    if in_order:
-        rows = rows.repartitionByRange(_PIECE)
     group = F.col(_PIECE)[_GROUP]
     ordered = Window.partitionBy(group).orderBy(F.col(_PIECE)["cut"])
     pieces = rows.groupBy(_PIECE).agg(F.count("*").alias(_COUNT)).select(
@@ -83,6 +81,8 @@ def shuffled_positions(
 
     # Ranked before the join: the one shuffle of the rows is by piece, and the
     # small side that follows may be broadcast or merged as it comes.
+    if in_order:
+        rows = rows.repartitionByRange(_PIECE)
     rank = F.row_number().over(Window.partitionBy(_PIECE).orderBy(_HASH, key))
     ranked = rows.withColumn(_RANK, rank)
     if in_order and not within:
