@@ -6,6 +6,12 @@ documents (the target). A document's score is the mean, over its own words and
 pairs, of log p_target(cell) - log p_raw(cell); a fixed threshold on it decides
 every document. Cell weights are whole steps of 1 / ``SCALE``, so sums are exact
 in any order. Only the ``buckets`` weights ever reach the driver.
+
+With a ``prior``, as the query and the stage have it, every distinct text counts
+once, however often it is repeated, and the target is smoothed towards the raw
+share: log((t + prior) / (r T / R + prior)). A cell that few texts have tends to
+0, so a clean text scores about 0 whether or not it is among the trusted ones.
+Without it the target gets one count in each cell.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ BUCKETS = 1 << 16
 SCALE = 4096
 # Between clean documents (about 0) and documents of a small second population.
 THRESHOLD = -0.1
+# From labelled rows held out of the target (README): with less, more good ones
+# fall below the threshold in small corpora, with more, bad ones rise above it.
+PRIOR = 6.0
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -44,16 +53,40 @@ def _cells(buckets: int) -> Column:
     return F.concat(single, F.when(F.size("words") >= 2, pair).otherwise(F.array().cast("array<int>")))
 
 
-def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, scale: int = SCALE, smooth: float = 1.0) -> list[int]:
+def _told(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, trusted) of every row of ``docs``."""
+    marks = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    # Labels grow with the corpus: one way to join them at every size.
+    return docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select(
+        "text", F.coalesce("trusted", F.lit(0)).alias("trusted")
+    )
+
+
+def _told_once(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, trusted) of every distinct text; trusted if one of its rows is.
+
+    Only hashes of texts meet the labels. Copies are merged before the shuffle.
+    """
+    key = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+    marks = trusted.where("doc_id is not null").select("doc_id").distinct()
+    told = docs.select("doc_id", *key).join(marks.hint("merge"), "doc_id", "left_semi")
+    told = told.groupBy("h", "g").agg(F.lit(1).alias("trusted"))
+    texts = docs.where("text is not null").select("text", *key).groupBy("h", "g").agg(F.first("text").alias("text"))
+    return texts.join(told.hint("merge"), ["h", "g"], "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+
+
+def cell_weights(
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, scale: int = SCALE, smooth: float = 1.0, prior: float | None = None,
+) -> list[int]:
     """round(scale * log(p_target / p_raw)) by cell; at most ``buckets`` numbers.
+    With ``prior`` over distinct texts and smoothed towards raw, else over rows
+    with ``smooth`` in each cell.
 
     Without trusted documents every weight is 0.
     """
-    marks = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
-    # Labels grow with the corpus: one way to join them at every size.
-    told = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")
+    told = _told(docs, trusted) if prior is None else _told_once(docs, trusted)
     counts = (
-        told.select(_once(_words("text")).alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
+        told.select(_once(_words("text")).alias("words"), "trusted")
         .select(F.explode(_cells(buckets)).alias("cell"), "trusted")
         .groupBy("cell").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
         .collect()
@@ -61,9 +94,12 @@ def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sc
     raw, target = [0] * buckets, [0] * buckets
     for r in counts:
         raw[r["cell"]], target[r["cell"]] = r["raw"], r["target"]
-    of_raw, of_target = sum(raw) + smooth * buckets, sum(target) + smooth * buckets
     if not any(target):
         return [0] * buckets
+    if prior is not None:
+        share = sum(target) / sum(raw)
+        return [round(scale * math.log((t + prior) / (r * share + prior))) for r, t in zip(raw, target, strict=True)]
+    of_raw, of_target = sum(raw) + smooth * buckets, sum(target) + smooth * buckets
     return [
         round(scale * (math.log((t + smooth) / of_target) - math.log((r + smooth) / of_raw)))
         for r, t in zip(raw, target, strict=True)
@@ -105,7 +141,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, min_words: int = 50,
-    max_repeat_percent: int = 50, buckets: int = BUCKETS, scale: int = SCALE,
+    max_repeat_percent: int = 50, buckets: int = BUCKETS, scale: int = SCALE, prior: float | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, llr) of every row of ``docs`` (doc_id, text); ``trusted``
@@ -116,7 +152,7 @@ def quality_rules(
     trusted document every llr is 0. An empty table gives an empty result; other
     columns are ignored. Windows of three words are compared by 64-bit hash.
     """
-    weights = cell_weights(docs, trusted, buckets, scale)
+    weights = cell_weights(docs, trusted, buckets, scale, prior=prior)
     table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
     scored = text_counts(docs.select("doc_id", "text")).withColumn("cells", _once(_cells(buckets))).withColumn(
         "total", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + F.get(table, c))
@@ -130,5 +166,5 @@ def quality_rules(
 
 def acceptable(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    out = stored(quality_rules(docs, trusted).where("not kept").select("doc_id").distinct(), "refused")
+    out = stored(quality_rules(docs, trusted, prior=PRIOR).where("not kept").select("doc_id").distinct(), "refused")
     return docs.join(out, docs.doc_id.eqNullSafe(out.doc_id), "left_anti")

@@ -14,7 +14,7 @@ from tallyframe.llm.near_dup import near_duplicates
 from tallyframe.llm.packing import packed
 from tallyframe.llm.pii import personal_data
 from tallyframe.llm.quality_model import quality_scores
-from tallyframe.llm.quality_rules import quality_rules
+from tallyframe.llm.quality_rules import PRIOR, quality_rules
 from tallyframe.llm.repeats import without_repeats
 from tallyframe.llm.token_files import token_files
 from tallyframe.sources import tables as sources
@@ -27,7 +27,7 @@ def load_tables(spark: SparkSession, folder: str) -> Tables:
 
 def op1_llr_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     tables = load_tables(spark, folder)
-    return quality_rules(tables["documents"], tables["labels"].where("quality = 1"))
+    return quality_rules(tables["documents"], tables["labels"].where("quality = 1"), prior=PRIOR)
 
 
 def op2_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,6 +55,31 @@ def test_quality_rules(spark, cases):
     assert all(math.isclose(x[7], y[7], abs_tol=1e-12) for x, y in zip(found, sorted(want, key=repr)))
 
 
+def test_held_out_good_rows_and_copies_are_kept(spark):
+    """Clean texts outside the target, each with words of its own, and a large
+    group of their copies; the second population is refused."""
+    def text(i, kind):
+        return " ".join(f"{kind}{(i * 37 + j * 11) % 400}" if j % 3 else f"own{i}x{j}" for j in range(120))
+
+    rows = [(i, text(i, "clean")) for i in range(80)] + [(100 + i, text(100 + i, "junk")) for i in range(40)]
+    rows += [(200 + i, text(70, "clean")) for i in range(300)] + [(None, text(71, "clean"))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    ids = spark.createDataFrame([(i,) for i in range(40)], "doc_id bigint")
+    found = quality_rules.quality_rules(frame, ids, prior=quality_rules.PRIOR).collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == set(range(100, 140))
+    assert len({r["llr"] for r in found if r["doc_id"] == 70 or (r["doc_id"] or 0) >= 200}) == 1
+    raw, target = Counter(), Counter()
+    for t in {t for _, t in rows}:
+        raw.update(cells(t, 1 << 16))
+        if t in {t for i, t in rows if i is not None and i < 40}:
+            target.update(cells(t, 1 << 16))
+    share, p = sum(target.values()) / sum(raw.values()), quality_rules.PRIOR
+    own = cells(rows[5][1], 1 << 16)
+    want = sum(round(4096 * math.log((target[c] + p) / (raw[c] * share + p))) for c in own) / len(own) / 4096
+    assert math.isclose(next(r["llr"] for r in found if r["doc_id"] == 5), want, abs_tol=1e-12)
+    assert quality_rules.acceptable(frame, ids).where("doc_id >= 200").count() == 300
+
+
 def test_quality_rules_without_target_and_rows(spark, cases, nothing):
     none = spark.createDataFrame([], "doc_id bigint")
     assert {r["llr"] for r in quality_rules.quality_rules(cases[0], none, buckets=64).collect()} == {0.0}
