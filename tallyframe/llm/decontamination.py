@@ -20,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyframe.llm import units
 from tallyframe.session import stored
@@ -187,11 +188,12 @@ def _search(index: Index, part: pa.RecordBatch) -> pa.RecordBatch:
             items[i].add(name)
         old_matches[i].append({"item_id": name, "words": words, "doc_word": doc_word, "item_word": item_word})
     schema = part.schema
-    return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), part.column("text"), pa.array(np.diff(first), pa.int64()),
-         pa.array(runs, schema.field("runs").type), pa.array([sorted(x) for x in items], schema.field("items").type),
-         pa.array(old_matches, schema.field("matches").type)], schema=schema,
-    )
+    fresh = {
+        "n_words": pa.array(np.diff(first), pa.int64()), "runs": pa.array(runs, schema.field("runs").type),
+        "items": pa.array([sorted(x) for x in items], schema.field("items").type),
+        "matches": pa.array(old_matches, schema.field("matches").type),
+    }
+    return pa.RecordBatch.from_arrays([fresh.get(n, part.column(n)) for n in schema.names], schema=schema)
 
 
 def _blocks(bench: DataFrame, limit: int) -> Iterator[tuple[list, list]]:
@@ -208,7 +210,7 @@ def _blocks(bench: DataFrame, limit: int) -> Iterator[tuple[list, list]]:
     yield ids, texts
 
 
-def benchmark_matches(docs: DataFrame, bench: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def benchmark_matches(docs: DataFrame, bench: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, the runs of hit words, the
     items with a window in it, and for each (row, item) the longest verbatim
     match with its place in both.
@@ -217,15 +219,16 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, width: int = 13, block_
     benchmark texts have no window. An item of fewer than ``width`` words is one
     window. Items with one item_id count once; one without an id hits words but
     is not listed. Repeated rows are judged one by one. Other columns are
-    ignored.
+    ignored, but for those of ``keep``.
     """
     state = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("n_words"),
         *(F.array().cast(kind).alias(name) for name, kind in (
             ("runs", "array<struct<s:bigint,e:bigint>>"), ("items", "array<bigint>"),
             ("matches", "array<struct<item_id:bigint,words:bigint,doc_word:bigint,item_word:bigint>>"),
-        )),
+        )), *keep,
     )
+    schema = StructType([*StructType.fromDDL(_STATE).fields, *(StructField(c, docs.schema[c].dataType) for c in keep)])
     context = docs.sparkSession.sparkContext
     for number, (ids, texts) in enumerate(_blocks(bench, block_bytes)):
         if number:
@@ -237,7 +240,7 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, width: int = 13, block_
                 for part in units.slices(batch):
                     yield _search(index.value, part)
 
-        state = state.mapInArrow(run, _STATE)
+        state = state.mapInArrow(run, schema)
     return state if keep_text else state.drop("text")
 
 
@@ -246,15 +249,27 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = 13, one_in: in
     row; contaminated if at least one word in ``one_in`` is hit. See
     ``benchmark_matches`` for the cases."""
     found = benchmark_matches(docs, bench, width, block_bytes)
-    n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"])
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "matches",
-    ).withColumn("contaminated", F.expr(f"n_hit > 0 and {one_in} * n_hit >= n_words"))
+    ).withColumn("contaminated", _contaminated(one_in))
+
+
+def _n_hit() -> Column:
+    return F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["e"] - r["s"])
 
 
-def uncontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = stored(contamination(docs, bench).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+def _contaminated(one_in: int) -> Column:
+    return F.expr(f"n_hit > 0 and {one_in} * n_hit >= n_words")
+
+
+def uncontaminated(docs: DataFrame, bench: DataFrame, one_in: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, each judged by its own
+    text: a contaminated row takes no other row along, whatever their doc_ids."""
+    rest = [c for c in docs.columns if c != "text"]
+    own = docs.select("doc_id", "text", F.struct(*(docs[f"`{c}`"] for c in rest)).alias("row"))
+    found = benchmark_matches(own, bench, keep_text=True, keep=("row",)).withColumn("n_hit", _n_hit())
+    return found.where(~_contaminated(one_in)).select(
+        *(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns)
+    )

@@ -295,6 +295,19 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group."""
-    out = stored(near_duplicates(docs, p).where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(out, docs.doc_id.eqNullSafe(out.doc_id), "left_anti")
+    """The rows of ``docs`` that stay: exactly one row of each group.
+
+    Rows are known by a stored key, so null and repeated doc_ids are rows like
+    all others. Of a group the row with the smallest doc_id stays, nulls last,
+    then the one with the smallest key. Rows without words are in no group.
+    """
+    # Read twice below: the key of a row has to be the same both times.
+    keyed = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), p)
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(
+        keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key"
+    )
+    first = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    )
+    return keyed.join(stored(first.select("first.key"), "first"), "key", "left_semi").select("row.*")

@@ -152,19 +152,27 @@ def quality_rules(
     trusted document every llr is 0. An empty table gives an empty result; other
     columns are ignored. Windows of three words are compared by 64-bit hash.
     """
+    return _judged(docs.select("doc_id", "text"), trusted, threshold, min_words, max_repeat_percent, buckets, scale, prior).drop("row")
+
+
+def _judged(
+    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, min_words: int = 50,
+    max_repeat_percent: int = 50, buckets: int = BUCKETS, scale: int = SCALE, prior: float | None = None,
+) -> DataFrame:
+    """The columns of ``quality_rules``, and ``row``: all columns of ``docs``."""
     weights = cell_weights(docs, trusted, buckets, scale, prior=prior)
     table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<int>")
-    scored = text_counts(docs.select("doc_id", "text")).withColumn("cells", _once(_cells(buckets))).withColumn(
+    scored = text_counts(docs.select(F.struct("*").alias("row"), "doc_id", "text")).withColumn("cells", _once(_cells(buckets))).withColumn(
         "total", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + F.get(table, c))
     )
     return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
         (F.col("total") / F.greatest(F.size("cells"), F.lit(1)) / scale).alias("llr"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def acceptable(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    out = stored(quality_rules(docs, trusted, prior=PRIOR).where("not kept").select("doc_id").distinct(), "refused")
-    return docs.join(out, docs.doc_id.eqNullSafe(out.doc_id), "left_anti")
+    """The rows of ``docs`` that the rules keep, each judged by its own text: a
+    refused row takes no other row along, whatever their doc_ids."""
+    return _judged(docs, trusted, prior=PRIOR).where("kept").select("row.*")

@@ -192,6 +192,44 @@ def test_signature_is_a_circular_shift():
     assert near_dup.signature(values, p).tolist() == want
 
 
+def ids_and_texts(frame):
+    return sorted(((r["doc_id"], r["text"], r["row"], r["words"]) for r in frame.collect()), key=repr)
+
+
+def with_extras(spark, rows):
+    """Rows with columns of names that the filters use themselves."""
+    wide = [(i, t, k, {"a": k} if k % 2 else None) for k, (i, t) in enumerate(rows)]
+    frame = spark.createDataFrame(wide, "doc_id bigint, text string, row int, words map<string,int>").repartition(3)
+    return frame, [(i, t, k, w) for i, t, k, w in wide]
+
+
+def test_filters_act_on_rows(spark, cases):
+    """Null and repeated doc_ids: a row that goes takes no other row along."""
+    prose = cases[1][0][1]
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, prose), (None, "too short"), (1, prose), (1, "too short"), (1, prose), (None, None), (2, other)]
+    frame, wide = with_extras(spark, rows)
+    none = spark.createDataFrame([], "doc_id bigint")
+    kept = quality_rules.acceptable(frame, none)
+    assert kept.columns == frame.columns
+    assert ids_and_texts(kept) == sorted((r for r in wide if r[1] in (prose, other)), key=repr)
+    bench = spark.createDataFrame([(1, prose)], "item_id bigint, text string")
+    kept = decontamination.uncontaminated(frame, bench)
+    assert kept.columns == frame.columns
+    assert ids_and_texts(kept) == sorted((r for r in wide if r[1] != prose), key=repr)
+
+
+def test_one_row_of_each_group_stays(spark, cases):
+    prose = cases[1][0][1]
+    other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("other", "third"))
+    rows = [(5, prose), (5, prose), (None, prose), (4, prose.replace("w30", "x30")), (None, other), (None, other), (None, third), (4, third), (4, third), (None, None), (None, ""), (7, None)]
+    frame, _ = with_extras(spark, rows)
+    kept = near_dup.representatives(frame)
+    assert kept.columns == frame.columns
+    want = [rows[3], (None, other), (4, third), (None, None), (None, ""), (7, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 100), (7, 7), (200, 200)]
     frame = spark.createDataFrame(edges, "a bigint, b bigint")
