@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyframe.llm import units
 from tallyframe.session import stored
@@ -44,6 +45,12 @@ def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
 
+def _byte(digits: str) -> bool:
+    """Whether the number is at most 255; int() refuses very long ones."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), ordered by start, then kind. Per kind leftmost, not
     overlapping; a match that fails its test is dropped and not tried again."""
@@ -51,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -107,8 +114,7 @@ def _extracted(docs: DataFrame, shortest: int) -> DataFrame:
                     [*(part.column(f.name) for f in keep), pa.array(spans, _SPANS), pa.array(met, _MET)],
                     [*(f.name for f in keep), "spans", "met"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return docs.mapInArrow(run, f"{kept}, {_FOUND}")
+    return docs.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in keep), *StructType.fromDDL(_FOUND)]))
 
 
 _HINT = re.compile(r"[0-9@]")
@@ -142,6 +148,8 @@ def reliable_contexts(met: DataFrame, rounds: int, least: float, seeds: int) ->
 def personal_spans(docs: DataFrame, rounds: int = 3, least: float = 0.75, seeds: int = 3, shortest: int = 6) -> DataFrame:
     """The columns of ``docs`` but text, and ``found``: (kind, s, e) in code
     points, ends exclusive, ordered by start, then kind; base spans always.
+    ``docs`` has no column spans, met, found, added or row_number_: callers put
+    columns of any name into one struct.
 
     A null or empty text has none. Repeated rows are judged alike, one by one.
     An empty table gives an empty result.
@@ -188,11 +196,13 @@ def masked(docs: DataFrame) -> DataFrame:
     brackets; spans that touch or overlap become one, named by the first. Where
     there is a column n_chars it is the new length of texts that changed."""
     names = list(KINDS)
-    found = personal_spans(docs.withColumn("copy_", F.col("text")))
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    row = F.struct(*(F.col(f"`{f.name}`") for f in rest)).alias("row")
+    found = personal_spans(docs.select(row, "text", F.col("text").alias("copy")))
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column("copy_").to_pylist(), batch.column("found").to_pylist()
+            texts, lists = batch.column("copy").to_pylist(), batch.column("found").to_pylist()
             out = []
             for text, spans in zip(texts, lists, strict=True):
                 if spans:
@@ -203,12 +213,18 @@ def masked(docs: DataFrame) -> DataFrame:
                         at = max(at, f["e"])
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("copy_", "found", "spans")}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(out, pa.string())], [*columns, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    out = found.select(*(f.name for f in rest), "copy_", "found").mapInArrow(run, f"{kept}, text string")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(*docs.columns)
+    out = found.select("row", "copy", "found").mapInArrow(
+        run, StructType([StructField("row", found.schema["row"].dataType), StructField("text", StringType())])
+    )
+
+    def column(name: str):
+        if name == "text":
+            return F.col("text")
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), own)
+        return own.alias(name)
+
+    return out.select(*(column(c) for c in docs.columns))

@@ -50,6 +50,23 @@ def test_personal_data(spark, cases):
     assert hidden[80] == "please write to [id] now" and hidden[60].startswith("write to [email] é ") and hidden[3] is None
 
 
+def test_long_digit_runs_and_any_column_names(spark):
+    long = "9" * 5000
+    text = f"{long}.1.1.1 and {'0' * 5000}7.1.1.1 and 10.0.0.1"
+    assert pii.base_spans(text) == [(1, 5011, 10018), (1, 10023, 10031)]
+    names = ["spans", "met", "found", "copy_", "copy", "row", "row_number_", "added", "a.b", "kind"]
+    frame = spark.createDataFrame(
+        [(1, text, *names, 0), (2, None, *names, 3), (1, "at 10.0.0.1", *names, 0)],
+        "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names) + ", n_chars int",
+    )
+    masked = pii.masked(frame)
+    assert masked.columns == frame.columns
+    first = f"{long}.1.1.1 and [ip] and [ip]"
+    want = [(1, first, *names, len(first)), (2, None, *names, 3), (1, "at [ip]", *names, 7)]
+    assert got(masked) == sorted(want, key=repr)
+    assert [r["n_ip"] for r in pii.personal_data(frame).orderBy("n_ip").collect()] == [0, 1, 2]
+
+
 def test_personal_data_of_nothing(nothing):
     assert pii.personal_data(nothing).count() == 0 and pii.masked(nothing).columns == nothing.columns
 
