@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree of elements. Elements that hold no article by their
-name, role, class or id are cut first. Every element then gets its composite
+name, role, class or id are cut first, unless they contain one all the same. Every element then gets its composite
 density: characters per tag, adjusted by the share of link characters and link
 tags, with the page's own link share as a base. The element whose children's
 densities sum to most, among those not less dense than the thinnest element on
@@ -54,60 +54,91 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S
 )
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Values are read with their names, so words inside a value are no names.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _LETTERS = re.compile(r"[a-z]+")
+# Tokens with one of these tell what the page has beside the element.
+LAYOUT_WORDS = frozenset("has no with without hide show".split())
+# Second words that leave the first one its meaning: ad-slot, cookie-bar.
+BOX_WORDS = frozenset("area bar block box buttons container inner item items link links list panel section slot unit wrap wrapper".split())
+# Names that are signs by themselves; only a main element inside speaks against them.
+STRONG = CUT - {"form", "header", "dialog"}
 
 
 class Element:
-    __slots__ = ("name", "parent", "inside", "chars", "tags", "link_chars", "links", "density")
+    __slots__ = ("name", "parent", "inside", "chars", "tags", "link_chars", "links", "density", "cut", "holds")
 
     def __init__(self, name: str, parent: Element | None):
         self.name, self.parent, self.inside = name, parent, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = 0.0
+        self.cut = False
+        self.holds = 0  # 2: contains a main element, 1: an article
 
 
-def _is_cut(name: str, rest: str) -> bool:
-    if name in CUT:
-        return True
-    if "=" not in rest and "hidden" not in rest or name in ("html", "body", "article", "main"):
+def _tells(token: str) -> bool:
+    """Whether a class or an id says that the element holds no article: as a
+    whole or by its end, as in site-footer."""
+    words = _LETTERS.findall(token)
+    if not words or not LAYOUT_WORDS.isdisjoint(words):
+        return False
+    if words[-1] in BOX_WORDS and len(words) > 1:
+        words.pop()
+    return words[-1] in CUT_WORDS and (words[-1] != "side" or len(words) == 1)
+
+
+def _marked(rest: str) -> bool:
+    """Whether the attributes say so."""
+    if "=" not in rest and "hidden" not in rest.lower():
         return False
-    for m in _MARKS.finditer(rest):
+    for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key == "role" and value in CUT_ROLES:
+        if key == "role" and value.strip() in CUT_ROLES:
             return True
-        if key in ("class", "id") and not CUT_WORDS.isdisjoint(_LETTERS.findall(value)):
+        if key in ("class", "id") and any(map(_tells, value.split())):
             return True
     return False
 
 
+def _is_cut(name: str, rest: str) -> bool:
+    return name in CUT or name not in ("html", "body", "article", "main") and _marked(rest)
+
+
+def _pruned(root: Element) -> Element:
+    """``root`` without the elements to cut. One with an article or a main element
+    inside stays; comments and teasers marked as such are no articles here."""
+    for e in reversed(_in_order(root)):
+        e.inside = [x for x in e.inside if type(x) is str or not x.cut or x.holds > (x.name in STRONG)]
+        for x in e.inside:
+            if type(x) is Element:
+                e.holds = max(e.holds, 2 if x.name == "main" else x.holds)
+    return root
+
+
 def tree(page: str) -> Element:
     """The elements of the page that are not cut, texts between them decoded."""
     root = Element("#page", None)
-    here, at, cut = root, 0, 0  # cut: depth inside a cut element
-    stack: list[tuple[str, bool]] = []  # (name, element of the tree)
+    here, at = root, 0
+    stack: list[str] = []  # names of the open elements
 
     def close(n: int) -> None:
-        nonlocal here, cut
+        nonlocal here
         for _ in range(n):
-            _, real = stack.pop()
-            if real:
-                here = here.parent
-            else:
-                cut -= 1
+            stack.pop()
+            here = here.parent
 
     def text(raw: str) -> None:
-        if raw and not cut:
+        if raw:
             here.inside.append(html.unescape(raw))
 
     def end(names, bound) -> None:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+            if stack[k] in names:
                 close(len(stack) - k)
                 return
-            if stack[k][0] in bound:
+            if stack[k] in bound:
                 return
 
     n = len(page)
@@ -123,7 +154,7 @@ def tree(page: str) -> Element:
             continue
         if m["close"] or m["close2"]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k] == name:
                     close(len(stack) - k)
                     break
             continue
@@ -141,18 +172,16 @@ def tree(page: str) -> Element:
                 text(raw)
             continue
         if name in VOID:
-            if not cut:
-                here.inside.append(" " if name in ("br", "wbr") else Element(name, here))
-            continue
-        if cut or _is_cut(name, rest):
-            cut += 1
-            stack.append((name, False))
+            here.inside.append(" " if name in ("br", "wbr") else Element(name, here))
             continue
         child = Element(name, here)
+        child.cut = _is_cut(name, rest)
+        if name == "article" and not _marked(rest):
+            child.holds = 1
         here.inside.append(child)
         here = child
-        stack.append((name, True))
-    return root
+        stack.append(name)
+    return _pruned(root)
 
 
 def _in_order(root: Element) -> list[Element]:

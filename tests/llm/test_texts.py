@@ -88,6 +88,25 @@ def test_main_text():
     assert html_text.main_text(div).count("Sentence") == 9 and "x" not in html_text.main_text(div).split("\n\n")
 
 
+@pytest.mark.parametrize("mark", [
+    'style="overflow:hidden"', 'title="the hidden valley"', 'data-role="navigation"', "data-id=sidebar", 'class="layout has-sidebar"',
+    'class="no-sidebar"', "class='with-comments'", 'id="content-side"', 'class="page-with-sidebar wide"', 'class="sidebar"', "hidden",
+])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_around_the_article_stay(mark, inner):
+    if inner == "div" and mark in ('class="sidebar"', "hidden"):
+        pytest.skip("cut where no article is inside")
+    text = [f"Sentence {i} of the article, with words enough." for i in range(6)]
+    page = f"<body><div {mark}><{inner}>{''.join(f'<p>{t}</p>' for t in text)}</{inner}></div></body>"
+    assert html_text.main_text(page).split("\n\n") == text
+
+
+@pytest.mark.parametrize("mark", ["hidden", 'HIDDEN=""', "aria-hidden=true", 'role="navigation"', 'class="left-sidebar"', 'id="ad-slot"', 'class="x comments"', 'class="widget-2"', 'class="side"'])
+def test_marked_elements_are_cut(mark):
+    page = f"<body><div><p>{'Some words of text. ' * 9}</p><div {mark}><p>{'Cut these words. ' * 9}</p><article class=comment><p>No.</p></article></div></div></body>"
+    assert html_text.main_text(page).split("\n\n") == [("Some words of text. " * 9).strip()]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(list("<>/ap\"'=!-& ;\n") + ["<p>", "</div>", "<div", "<!--", "<script>", "<table><tr><td>"]), max_size=40).map("".join))
 def test_any_markup_is_read(page):
