@@ -4,9 +4,11 @@ The page becomes a tree of elements. Elements that hold no article by their
 name, role, class or id are cut first, unless they contain one all the same. Every element then gets its composite
 density: characters per tag, adjusted by the share of link characters and link
 tags, with the page's own link share as a base. The element whose children's
-densities sum to most, among those not less dense than the thinnest element on
-the way from it to the body, is the main subtree; where it lies in an article or
-main element, that element is. Its blocks are the text, none is dropped.
+densities sum to most is the main subtree; where it lies in an article or main
+element, that element is. Elsewhere the least density on the way from it to the
+body is the bound: whatever stands beside this way and is not less dense is text,
+too, as are headings, and what lies between two parts of the text unless it is
+mostly links. The blocks of all parts are the text, in page order.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ CUT_WORDS = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments "
     "respond disqus reply replies share sharing social related recommended recommendations widget widgets toolbar skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 P_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
@@ -209,14 +212,43 @@ def measure(root: Element) -> list[Element]:
             e.link_chars, e.links = e.chars, e.links + 1
     share = root.link_chars / max(root.chars, 1)
     for e in every:
-        if e.chars:
-            plain, links, tags = max(e.chars - e.link_chars, 1), max(e.link_chars, 1), max(e.tags, 1)
-            base = math.log(e.chars / plain * e.link_chars + share * e.chars + math.e)
-            e.density = e.chars / tags * math.log(max(e.chars / links * tags / max(e.links, 1), 1.0)) / max(math.log(base), 1.0)
+        e.density = _density(e, share)
     return every
 
 
+def _density(e: Element, share: float) -> float:
+    if not e.chars:
+        return 0.0
+    plain, links, tags = max(e.chars - e.link_chars, 1), max(e.link_chars, 1), max(e.tags, 1)
+    base = math.log(e.chars / plain * e.link_chars + share * e.chars + math.e)
+    return e.chars / tags * math.log(max(e.chars / links * tags / max(e.links, 1), 1.0)) / max(math.log(base), 1.0)
+
+
+def _parts(e: Element, inner: Element, share: float) -> list[Element]:
+    """What lies directly in ``e``: ``inner``, its elements that are no inline
+    ones, and each run of text and inline elements between them as one."""
+    out: list[Element] = []
+    for x in e.inside:
+        if x is inner or type(x) is Element and x.name not in INLINE:
+            out.append(x)
+            continue
+        if not out or out[-1].name != "#run":
+            out.append(Element("#run", e))
+        run = out[-1]
+        run.inside.append(x)
+        if type(x) is Element:
+            run.chars, run.tags = run.chars + x.chars, run.tags + x.tags + 1
+            run.link_chars, run.links = run.link_chars + x.link_chars, run.links + x.links
+        else:
+            run.chars += len("".join(x.split()))
+    for x in out:
+        if x.name == "#run":
+            x.density = _density(x, share)
+    return out
+
+
 def main_element(root: Element) -> Element:
+    """The main subtree, or an element made of all parts of the text."""
     every = measure(root)
     body = next((e for e in every if e.name == "body"), root)
 
@@ -224,18 +256,33 @@ def main_element(root: Element) -> Element:
         return sum(x.density for x in e.inside if type(x) is Element)
 
     best = max((e for e in every if e.name not in INLINE), key=total, default=root)
-    way = [best]
-    while way[-1] is not body and way[-1].parent is not None:
-        way.append(way[-1].parent)
-    least = min(e.density for e in way)
-    dense = [e for e in every if e.name not in INLINE and e.density >= least]
-    best = max(dense, key=total, default=best)
     if total(best) == 0.0:
         best = body
     outer = best
     while outer is not None and outer.name not in ("article", "main"):
         outer = outer.parent
-    return outer if outer is not None else best
+    if outer is not None:
+        return outer
+    way = [best]
+    while way[-1] is not body and way[-1].parent is not None:
+        way.append(way[-1].parent)
+    least = min(e.density for e in way)
+    share = root.link_chars / max(root.chars, 1)
+    before: list[Element] = []  # last first
+    after: list[Element] = []
+    for inner, parent in zip(way, way[1:], strict=False):
+        parts = _parts(parent, inner, share)
+        here = next(k for k, x in enumerate(parts) if x is inner)
+        taken = [k for k, x in enumerate(parts) if k == here or x.chars and (x.density >= least or x.name in HEADINGS and 2 * x.link_chars < x.chars)]
+        sure = set(taken)
+        own = [k for k in range(taken[0], taken[-1] + 1) if k in sure or 2 * parts[k].link_chars < parts[k].chars]
+        before += [parts[k] for k in reversed(own) if k < here]
+        after += [parts[k] for k in own if k > here]
+    if not before and not after:
+        return best
+    whole = Element("#text", None)
+    whole.inside = [*reversed(before), best, *after]
+    return whole
 
 
 def blocks(element: Element) -> list[str]:

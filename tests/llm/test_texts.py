@@ -101,6 +101,22 @@ def test_wrappers_around_the_article_stay(mark, inner):
     assert html_text.main_text(page).split("\n\n") == text
 
 
+def long_p(i):
+    return f"{i} {'Words of this part of the article, in one piece. ' * 6}".strip()
+
+
+def test_parts_beside_the_densest_element():
+    """Pages without article or main: a split container, a heading and a lead
+    outside it, a short paragraph between, loose text; lists of links go."""
+    half = lambda a, b: "<div>" + "".join(f"<p>{long_p(i)}</p>" for i in range(a, b)) + "</div>"
+    want = [long_p(i) for i in range(10)]
+    assert html_text.main_text(f"<body><div>{half(0, 5)}{half(5, 10)}</div></body>").split("\n\n") == want
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Place {i}</a></li>" for i in range(12)) + "</ul>"
+    page = f"<body>{links}<h1>The heading</h1><div><p>{long_p('lead')}</p>{half(0, 5)}<p>Short.</p>{links}{half(5, 10)}</div>{long_p('loose')}{links}</body>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found == ["The heading", long_p("lead"), *want[:5], "Short.", *want[5:], long_p("loose")]
+
+
 @pytest.mark.parametrize("mark", ["hidden", 'HIDDEN=""', "aria-hidden=true", 'role="navigation"', 'class="left-sidebar"', 'id="ad-slot"', 'class="x comments"', 'class="widget-2"', 'class="side"'])
 def test_marked_elements_are_cut(mark):
     page = f"<body><div><p>{'Some words of text. ' * 9}</p><div {mark}><p>{'Cut these words. ' * 9}</p><article class=comment><p>No.</p></article></div></div></body>"
