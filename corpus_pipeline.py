@@ -16,7 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: 85 percent of the shingles of
+    five words, the threshold of op5."""
     reachable(spark)
     return near_dup.representatives(docs)
 
