@@ -108,3 +108,60 @@ SELECT conv_id, count(*) AS n_turns,
     + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), occ AS (
+  SELECT r, lang, source, unnest(w) AS t FROM d
+), kept AS (
+  SELECT lang, t, CAST(count(*) AS HUGEINT) AS c FROM occ GROUP BY lang, t HAVING count(DISTINCT r) >= 3
+), used AS (
+  SELECT lang, source, t, CAST(count(*) AS HUGEINT) AS c FROM occ GROUP BY lang, source, t
+), langs AS (
+  SELECT lang, count(*) AS v, sum(c) AS n, FROM kept GROUP BY lang
+), own AS (
+  SELECT lang, source, sum(used.c) AS n FROM used JOIN kept USING (lang, t) GROUP BY lang, source
+), groups AS (
+  SELECT g.lang, g.source, coalesce(own.n, 0) AS n, coalesce(langs.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN own ON own.lang = g.lang AND own.source = g.source LEFT JOIN langs ON langs.lang = g.lang
+), grid AS (
+  SELECT g.lang, g.source, k.t, coalesce(u.c, 0) AS c, 1 + 1000000000 * (coalesce(u.c, 0) + 1) // (g.n + g.v) AS p,
+    1 + 1000000000 * (k.c + 1) // (l.n + l.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.t = k.t
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', t, (p - q) * (p - q) // q FROM grid WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM items
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+INFILL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, z + 1) || '<M>' || substr(t, a + 1, z - a)
+    ELSE '<S>' || substr(t, z + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, z - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, oracle, reachable, tokens
+from tallyframe.llm import chat, divergence, graph_index, infill, oracle, reachable, tokens
 from tallyframe.llm.decontamination import contamination
 from tallyframe.llm.html_text import extracted
 from tallyframe.llm.near_dup import near_duplicates
@@ -73,12 +73,28 @@ def op10_round_trip_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.formatted_turns(table.unionByName(extra)))
 
 
+def op11_divergence_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(load_tables(spark, folder)["documents"])
+
+
+def op12_pruned_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_index.neighbours(load_tables(spark, folder)["embeddings"])
+
+
+def op13_chunked_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.infilled(load_tables(spark, folder)["documents"])
+    back = infill.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_llr_quality_rules,
         op2_suffix_decontamination, op3_bootstrapped_pii, op4_zstd_token_files,
         op5_circulant_near_dup, op6_best_fit_packing, op7_composite_density_html, op8_ftrl_quality_model, op9_prefix_free_repeats,
-        op10_round_trip_chat,
+        op10_round_trip_chat, op11_divergence_trees, op12_pruned_graph_neighbours, op13_chunked_infill,
     )
 }
 SQL: dict[str, str] = {
@@ -86,4 +102,6 @@ SQL: dict[str, str] = {
     "op5_circulant_near_dup": oracle.NEAR_DUPLICATES,
     "op9_prefix_free_repeats": oracle.REPEATS,
     "op10_round_trip_chat": oracle.CHAT,
+    "op11_divergence_trees": oracle.DIVERGENCE,
+    "op13_chunked_infill": oracle.INFILL,
 }
