@@ -4,14 +4,16 @@ Vectors are dealt to shards of bounded size by a hash. A shard's graph grows in
 batches: a greedy beam search on the graph so far proposes neighbours of every
 new vector, pruning keeps the diverse ones (a candidate goes if a kept neighbour
 is ``slack`` times nearer to it than the vector itself), and kept edges are
-offered back to their ends, which are pruned again where they overflow. Vectors
-that the entry does not lead to become entries as well, so all are reachable.
+offered back to their ends, which are pruned again where they overflow. A search
+enters at a few random vectors, and at those that these do not lead to, so all are
+reachable.
 
 The index is a table with one row per distinct vector, so it is written, read
 back and searched like any other. A search gives every query to every shard:
 index rows of a shard come first, queries then stream past them in batches, and
-the nearest of all shards are merged. The distance in the result is taken anew
-from the original numbers in double precision.
+the nearest of all shards are merged. All distances are in double precision, those
+of the result are taken anew from differences; components beyond 1e150, which no
+single-precision number is, have infinite distances.
 
 Equal vectors are one node. It keeps the smallest ids, as many as a result can
 hold: no result ever shows a larger one.
@@ -40,6 +42,7 @@ class Params:
     slack: float = 1.2
     batch: int = 512  # vectors inserted, and queries searched, at once
     step: int = 4  # nodes that a search opens at once
+    starts: int = 64  # entries of a shard, so that a dense group around one does not hold a search
     seed: int = 7
 
 
@@ -51,6 +54,15 @@ def _distances(points: np.ndarray, squares: np.ndarray, ids: np.ndarray, targets
     return np.maximum(squares[ids] - 2 * near + np.einsum("ij,ij->i", targets, targets)[:, None], 0)
 
 
+def _again(ids: np.ndarray) -> np.ndarray:
+    """Where an id of a row has occurred in the row before."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    ordered = np.take_along_axis(ids, order, 1)
+    again = np.zeros(ids.shape, bool)
+    np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
+    return again
+
+
 def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, entries: np.ndarray, targets: np.ndarray, beam: int, step: int):
     """(beam ids, their squared distances, opened ids, theirs) for every target:
     the nearest nodes met, nearest first, and all nodes whose edges were
@@ -59,20 +71,15 @@ def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, entr
     seen = np.zeros((n, len(points) + 1), bool)  # the last column takes the fillers
     seen[:, -1] = True
     ids = np.full((n, beam), -1, np.int64)
-    far = np.full((n, beam), np.inf, np.float32)
+    far = np.full((n, beam), np.inf)
     done = np.zeros((n, beam), bool)
     opened, opened_far = [], []
 
     def offer(active: np.ndarray, new: np.ndarray) -> None:
         fresh = ~seen[active[:, None], new]
         seen[active[:, None], new] = True
-        d = np.where(fresh, _distances(points, squares, new, targets[active]), np.inf).astype(np.float32)
-        # The same new node may come from two opened ones: all but one go.
-        order = np.argsort(new, axis=1, kind="stable")
-        twice = np.zeros_like(fresh)
-        ordered = np.take_along_axis(new, order, 1)
-        np.put_along_axis(twice, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-        d[twice] = np.inf
+        d = np.where(fresh, _distances(points, squares, new, targets[active]), np.inf)
+        d[_again(new)] = np.inf  # the same node from two opened ones
         every, every_far = np.concatenate([ids[active], new], 1), np.concatenate([far[active], d], 1)
         flags = np.concatenate([done[active], np.zeros_like(fresh)], 1)
         best = np.argsort(every_far, axis=1, kind="stable")[:, :beam]
@@ -96,13 +103,13 @@ def beam_search(points: np.ndarray, squares: np.ndarray, edges: np.ndarray, entr
         done[active] = mark
         for_all = np.full((n, first.shape[1]), -1, np.int64)
         for_all[active] = nodes
-        dist = np.full((n, first.shape[1]), np.inf, np.float32)
+        dist = np.full((n, first.shape[1]), np.inf)
         dist[active] = np.where(fits, np.take_along_axis(far[active], first, 1), np.inf)
         opened.append(for_all)
         opened_far.append(dist)
         offer(active, edges[nodes].reshape(len(active), -1))
     if not opened:
-        return ids, far, np.zeros((n, 0), np.int64), np.zeros((n, 0), np.float32)
+        return ids, far, np.zeros((n, 0), np.int64), np.zeros((n, 0))
     return ids, far, np.concatenate(opened, 1), np.concatenate(opened_far, 1)
 
 
@@ -110,11 +117,7 @@ def robust_prune(points: np.ndarray, squares: np.ndarray, own: np.ndarray, ids:
     """At most ``degree`` diverse neighbours of each own[i] from ids[i, :] at the
     squared distances far[i, :]; -1 fills up. Repeated ids count once."""
     far = np.where((ids < 0) | (ids == own[:, None]), np.inf, far)
-    by_id = np.argsort(ids, axis=1, kind="stable")
-    ordered = np.take_along_axis(ids, by_id, 1)
-    twice = np.zeros(ids.shape, bool)
-    np.put_along_axis(twice, by_id[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-    far = np.where(twice, np.inf, far)
+    far = np.where(_again(ids), np.inf, far)
     order = np.argsort(far, axis=1, kind="stable")
     ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
     width = int(np.isfinite(far).sum(1).max(initial=0))
@@ -153,6 +156,7 @@ def _offer_back(points, squares, edges, sources, p: Params) -> None:
     for i in range(0, len(nodes), p.batch):
         own = nodes[i : i + p.batch]
         every = np.concatenate([edges[own], offers[i : i + p.batch]], 1)
+        every = np.where(_again(every), -1, every)
         merged = robust_prune(points, squares, own, every, _distances(points, squares, every, points[own]), p.degree, p.slack)
         # Where everything fits nothing is pruned.
         fits = (every >= 0).sum(1) <= p.degree
@@ -167,49 +171,39 @@ def grow(points: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     squares = np.einsum("ij,ij->i", points, points)
     # One filler row, so that node -1 is a place without edges.
-    points, squares = np.concatenate([points, np.zeros((1, points.shape[1]), points.dtype)]), np.append(squares, np.float32(0))
+    points, squares = np.concatenate([points, np.zeros((1, points.shape[1]), points.dtype)]), np.append(squares, 0.0)
     edges = np.full((n + 1, p.degree), -1, np.int64)
-    middle = points[:n].mean(axis=0)
-    entry = int(np.argmin(squares[:n] - 2 * points[:n] @ middle))
     order = np.random.default_rng(p.seed).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
+    entries = order[: p.starts]
     # The first vectors all see each other, later ones the graph before their batch.
     at = min(n, 2 * p.build_beam)
     head = order[:at]
     every = np.repeat(head[None, :], at, 0)
     edges[head] = robust_prune(points, squares, head, every, _distances(points, squares, every, points[head]), p.degree, p.slack)
     _offer_back(points, squares, edges, head, p)
-    entries = np.array([entry])
     while at < n:
         own = order[at : at + min(p.batch, at)]
         _, _, ids, far = beam_search(points[:n], squares[:n], edges, entries, points[own], p.build_beam, p.step)
         edges[own] = robust_prune(points, squares, own, ids, far, p.degree, p.slack)
         _offer_back(points, squares, edges, own, p)
         at += len(own)
-    return edges[:n], np.concatenate([entries, _unreached(edges, entry, n)])
+    return edges[:n], np.concatenate([entries, _unreached(edges, entries, n)])
 
 
-def _unreached(edges: np.ndarray, entry: int, n: int) -> np.ndarray:
-    """Nodes to enter at as well, so that every node is reached."""
+def _unreached(edges: np.ndarray, entries: np.ndarray, n: int) -> np.ndarray:
+    """Nodes to enter at besides ``entries``, so that every node is reached."""
     met = np.zeros(n + 1, bool)
     met[-1] = True
-    more, start = [], entry
+    more, edge = [], entries
     while True:
-        met[start], edge = True, np.array([start])
         while len(edge):
+            met[edge] = True
             edge = np.unique(edges[edge])
             edge = edge[~met[edge]]
-            met[edge] = True
         if met.all():
             return np.array(more, np.int64)
-        start = int(np.argmin(met))
-        more.append(start)
-
-
-def _scaled(vectors: np.ndarray) -> np.ndarray:
-    """Single-precision copies for the search, by a power of two near one."""
-    top = float(np.abs(vectors).max(initial=0.0))
-    return np.ldexp(vectors, -int(np.frexp(top)[1])).astype(np.float32)
+        more.append(int(np.argmin(met)))
+        edge = np.array(more[-1:])
 
 
 # ------------------------------------------------------------------ tables
@@ -243,7 +237,7 @@ def build(found: DataFrame, ids_kept: int, p: Params = Params()) -> DataFrame:
         order = sorted(range(len(ids)), key=lambda i: ids[i])  # the same graph on every run
         table = table.take(pa.array(order))
         vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-        edges, entries = grow(_scaled(vectors), p)
+        edges, entries = grow(vectors, p)
         is_entry = np.zeros(len(vectors), bool)
         is_entry[entries] = True
         lists = [e[e >= 0] for e in edges]
@@ -265,20 +259,16 @@ class _Shard:
         self.p = p
         self.vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dims)
         self.ids = table.column("vec_ids").to_pylist()
-        points = _scaled(self.vectors)
-        self.shift = -int(np.frexp(float(np.abs(self.vectors).max(initial=0.0)))[1])
-        self.points = np.concatenate([points, np.zeros((1, dims), np.float32)])
-        self.squares = np.einsum("ij,ij->i", self.points, self.points)
-        self.edges = np.full((len(points) + 1, p.degree), -1, np.int64)
+        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.edges = np.full((table.num_rows + 1, p.degree), -1, np.int64)
         for i, e in enumerate(table.column("edges").to_pylist()):
             self.edges[i, : len(e)] = e
         self.entries = np.flatnonzero(table.column("entry").to_numpy(zero_copy_only=False))
 
     def nearest(self, own: list[int], targets: np.ndarray, k: int):
         """(query row, vec_id, distance) of the nearest found."""
-        scaled = np.ldexp(targets, self.shift).astype(np.float32)
         beam = min(max(self.p.search_beam, 2 * k), len(self.vectors))
-        found, _, _, _ = beam_search(self.points[:-1], self.squares[:-1], self.edges, self.entries, scaled, beam, self.p.step)
+        found, _, _, _ = beam_search(self.vectors, self.squares, self.edges, self.entries, targets, beam, self.p.step)
         for i, nodes in enumerate(found):
             nodes = nodes[nodes >= 0]
             gap = np.sqrt(((self.vectors[nodes] - targets[i]) ** 2).sum(axis=1))
