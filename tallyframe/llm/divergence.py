@@ -125,43 +125,44 @@ def _prices(leaves: np.ndarray, totals: list[int], terms: int) -> np.ndarray:
     return np.array([[1 + SCALE * (c + 1) // (n + terms) for c in leaves.tolist()] for n in totals], np.int64)
 
 
+def _count_matrix(terms: pa.Table, sources: list[str]) -> np.ndarray:
+    """Counts by (group, term id). Ids follow the counts, so that equal terms lie
+    side by side; they are filled up to a power of two with leaves of -1."""
+    at = {s: i for i, s in enumerate(sources)}
+    lists = terms.column("counts").combine_chunks()
+    cells = lists.flatten()
+    counts = np.zeros((len(sources), terms.num_rows), np.int64)
+    row = np.array([at[s] for s in cells.field("source").to_pylist()], np.int64)
+    counts[row, np.repeat(np.arange(terms.num_rows), np.diff(lists.offsets.to_numpy()))] = cells.field("n").to_numpy()
+    missing = (1 << (terms.num_rows - 1).bit_length()) - terms.num_rows
+    return np.pad(counts[:, np.lexsort(counts[::-1])], ((0, 0), (0, missing)), constant_values=-1)
+
+
 def _block_sums(key, terms, groups):
     """(lang, source, item, value) of one block: for every two of its groups the
     value summed over its terms. Of two different tiles only groups of either
     meet; the others meet in the block of their own tile."""
     sources = groups.column("source").to_pylist()
-    totals = groups.column("n").to_pylist()
-    v = groups.column("v")[0].as_py()
-    at = {s: i for i, s in enumerate(sources)}
-    lists = terms.column("counts").combine_chunks()
-    width = 1 << max(terms.num_rows - 1, 0).bit_length()
-    counts = np.zeros((len(sources), width), np.int64)
-    column = np.repeat(np.arange(terms.num_rows), np.diff(lists.offsets.to_numpy()))
-    cells = lists.flatten()
-    row = np.array([at[s] for s in cells.field("source").to_pylist()], np.int64)
-    counts[row, column] = cells.field("n").to_numpy()
-    # Ids in the order of the counts: equal terms lie side by side. Ids beyond the
-    # terms hold -1 in all groups, a leaf that is worth nothing.
-    counts[:, : terms.num_rows] = counts[:, np.lexsort(counts[::-1, : terms.num_rows])]
-    counts[:, terms.num_rows :] = -1
-    leaves, levels, roots = shared_tree(counts)
-    price = _prices(leaves, totals, v) if terms.num_rows else np.zeros((len(sources), 1), np.int64)
     worth = np.zeros((len(sources), len(sources)), np.int64)
     first, second = np.triu_indices(len(sources), 1)
-    tile = groups.column("tile").to_numpy()
-    if tile.min() != tile.max():
+    two = key[2].as_py()
+    if two["a"] != two["b"]:
+        tile = groups.column("tile").to_numpy()
         across = tile[first] != tile[second]
         first, second = first[across], second[across]
-    step = max(BLOCK_CELLS // width, 1)
-    for i in range(0, len(first), step):
-        f, s = first[i : i + step], second[i : i + step]
-        pair, a, b, times = walk(levels, roots[f], roots[s])
-        real = (leaves[a] >= 0) & (terms.num_rows > 0)
-        pair, a, b, times = pair[real], a[real], b[real], times[real]
-        p, q = price[f[pair], a], price[s[pair], b]
-        square = (p - q) * (p - q)
-        np.add.at(worth, (f[pair], s[pair]), square // q * times)
-        np.add.at(worth, (s[pair], f[pair]), square // p * times)
+    if terms.num_rows and len(first):
+        leaves, levels, roots = shared_tree(_count_matrix(terms, sources))
+        price = _prices(leaves, groups.column("n").to_pylist(), groups.column("v")[0].as_py())
+        step = max(BLOCK_CELLS >> len(levels), 1)
+        for i in range(0, len(first), step):
+            f, s = first[i : i + step], second[i : i + step]
+            pair, a, b, times = walk(levels, roots[f], roots[s])
+            real = leaves[a] >= 0
+            pair, a, b, times = pair[real], a[real], b[real], times[real]
+            p, q = price[f[pair], a], price[s[pair], b]
+            square = (p - q) * (p - q)
+            np.add.at(worth, (f[pair], s[pair]), square // q * times)
+            np.add.at(worth, (s[pair], f[pair]), square // p * times)
     one, other = np.concatenate([first, second]), np.concatenate([second, first])
     names = pa.array(sources, pa.string())
     return pa.table({"lang": pa.array([key[0].as_py()] * len(one), pa.string()), "source": names.take(pa.array(one)),
