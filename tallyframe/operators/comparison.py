@@ -2,10 +2,13 @@
 
 Two results are equal as multisets when every distinct row occurs equally often
 on both sides. Equality as sequences is the same test with the position as a part
-of the row. So each row is reduced to one key, gold rows count +1 and predicted
-rows -1, and the sums must all be zero: a single aggregation whose key holds the
-row itself, which spreads an example that owns a third of all rows over all
-tasks and merges repeated rows before the shuffle.
+of the row. Results are compared by fingerprints: gold rows count +1 and predicted
+rows -1 in sums over the rows' hashes, which must all be zero. A map task sends
+one row per example, so neither a huge result nor many results are shuffled.
+
+``exact=True`` compares the rows themselves instead: the same sums for every
+distinct row, with the row in the key, which spreads an example that owns a
+third of all rows over all tasks and merges repeated rows before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import asks_for_order
 from tallyframe.functions.values import cell_text, round_cell
+from tallyframe.operators.fingerprints import chosen, empty, fingerprints
 
 
 def normalize_rows(df: DataFrame) -> DataFrame:
@@ -69,29 +73,39 @@ def _verdicts(examples: DataFrame, unequal: DataFrame) -> DataFrame:
     )
 
 
-def match_unordered(examples: DataFrame, results: DataFrame) -> DataFrame:
+def _balanced(examples: DataFrame, results: DataFrame, ordered: Column) -> DataFrame:
+    """Verdicts by fingerprint: the weighted sums of both sides cancel out."""
+    balance = fingerprints(results, "example_id", weight=_weight())
+    matched = chosen(ordered) == empty()
+    return examples.join(balance, "example_id", "left").select(*examples.columns, matched.alias("matched"))
+
+
+def match_unordered(examples: DataFrame, results: DataFrame, exact: bool = False) -> DataFrame:
     """Multiset verdict per row of ``examples`` (with ``example_id``). An
     example without rows on either side matches."""
-    return _verdicts(examples, _unequal(results))
+    if exact:
+        return _verdicts(examples, _unequal(results))
+    return _balanced(examples, results, F.lit(False))
 
 
-def match_ordered(examples: DataFrame, results: DataFrame) -> DataFrame:
+def match_ordered(examples: DataFrame, results: DataFrame, exact: bool = False) -> DataFrame:
     """Sequence verdict; ``pos`` must be given on both sides."""
-    return _verdicts(examples, _unequal(results, "pos"))
+    if exact:
+        return _verdicts(examples, _unequal(results, "pos"))
+    return _balanced(examples, results, F.lit(True))
 
 
-def match_results(examples: DataFrame, results: DataFrame) -> DataFrame:
-    """Verdicts for a mix: ``examples`` has ``example_id`` and ``ordered``.
-    Rows that already carry ``ordered`` spare the join that looks it up."""
-    if "ordered" not in results.columns:
-        results = results.join(examples.select("example_id", "ordered"), "example_id")
-    keyed = results.withColumn("_at", F.when(F.col("ordered"), F.col("pos")))
-    return _verdicts(examples, _unequal(keyed, "_at"))
+def match_results(examples: DataFrame, results: DataFrame, exact: bool = False) -> DataFrame:
+    """Verdicts for a mix: ``examples`` has ``example_id`` and ``ordered``."""
+    if not exact:
+        return _balanced(examples, results, F.col("ordered"))
+    flagged = results.drop("ordered").join(examples.select("example_id", "ordered"), "example_id")
+    return _verdicts(examples, _unequal(flagged.withColumn("_at", F.when(F.col("ordered"), F.col("pos"))), "_at"))
 
 
 def match_predictors(flags: DataFrame, asked: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Verdicts (id, predictor, matched) of ``asked`` (id, predictor), where all
-    predictors share the gold rows.
+    """Exact verdicts (id, predictor, matched) of ``asked`` (id, predictor), where
+    all predictors share the gold rows.
 
     ``flags``: id, ordered. ``gold``: id, pos, cells. ``predicted``: the same
     with predictor. Gold rows are counted once whatever the number of
@@ -120,18 +134,24 @@ def match_predictors(flags: DataFrame, asked: DataFrame, gold: DataFrame, predic
     )
 
 
-def same_result(gold: DataFrame, pred: DataFrame, order_by: str | None = None) -> DataFrame:
+def same_result(
+    gold: DataFrame, pred: DataFrame, order_by: str | None = None, by: str | None = None, exact: bool = False
+) -> DataFrame:
     """One row: do two results agree? ``order_by`` names the position column
-    of both sides when the order counts; it is not a cell itself."""
+    of both sides when the order counts, ``by`` a column of both sides whose
+    values are compared one by one, a verdict for each that occurs on either
+    side; neither is a cell itself."""
 
-    def side(df: DataFrame, weight: int) -> DataFrame:
-        cells = [c for c in df.columns if c != order_by]
+    def side(df: DataFrame, name: str) -> DataFrame:
+        cells = [c for c in df.columns if c not in (order_by, by)]
         at = F.col(order_by).cast("bigint") if order_by else F.lit(None).cast("bigint")
-        return df.select(
-            at.alias("_at"), pack_cells(df, cells).alias("cells"),
-            F.lit(weight).cast("bigint").alias("_w"),
-        )
-
-    both = side(gold, 1).unionByName(side(pred, -1))
-    sums = both.groupBy("_at", "cells").agg(F.sum("_w").alias("_w"))
-    return sums.where(F.col("_w") != 0).agg((F.count("*") == 0).alias("matched"))
+        keys = [F.col(by)] if by else []
+        return df.select(*keys, F.lit(name).alias("side"), at.alias("pos"), pack_cells(df, cells).alias("cells"))
+
+    both = side(gold, "gold").unionByName(side(pred, "pred"))
+    keys = [by] if by else []
+    if exact:
+        sums = both.groupBy(*keys, "pos", "cells").agg(F.sum(_weight()).alias("_w"))
+        return sums.groupBy(*keys).agg((F.count_if(F.col("_w") != 0) == 0).alias("matched"))
+    balance = fingerprints(both, *keys, weight=_weight())
+    return balance.select(*keys, (chosen(F.lit(order_by is not None)) == empty()).alias("matched"))

@@ -68,7 +68,19 @@ def score(examples: DataFrame, predictions: DataFrame, verdicts: DataFrame) -> D
     The first of unknown id, predictor error, refused statement and failed
     statement explains a miss; a plain mismatch has no text.
     """
-    gold = examples.select("id", "question", "category", F.col("sql").alias("gold_sql"), F.lit(True).alias("known"))
+    gold = known_examples(examples)
+    joined = predictions.join(gold, "id", "left").join(verdicts, ["id", "predictor"], "left")
+    return judged(joined)
+
+
+def known_examples(examples: DataFrame, *more: str) -> DataFrame:
+    """What ``judged`` needs to know of an example, and ``more`` of its columns."""
+    return examples.select("id", "question", "category", F.col("sql").alias("gold_sql"), F.lit(True).alias("known"), *more)
+
+
+def judged(answers: DataFrame) -> DataFrame:
+    """Scored rows of answers that carry their example (``known_examples``, null
+    where there is none) and their verdict ``matched``."""
     unknown = F.when(F.col("known").isNull(), F.lit("no example with this id"))
     failed = F.when(F.col("error") != "", F.concat(F.lit("predictor error: "), F.col("error")))
     refused = F.coalesce(refusal("gold_sql"), refusal("sql"))
@@ -78,8 +90,7 @@ def score(examples: DataFrame, predictions: DataFrame, verdicts: DataFrame) -> D
         F.concat(F.lit("rejected unsafe SQL: "), refused),
         F.concat(F.lit("execution error: "), F.col("run_error")),
     )
-    joined = predictions.join(gold, "id", "left").join(verdicts, ["id", "predictor"], "left")
-    scored = joined.withColumn("exec_error", explained)
+    scored = answers.withColumn("exec_error", explained)
     correct = F.col("exec_error").isNull() & F.coalesce(F.col("matched"), F.lit(False))
     return scored.withColumn("correct", correct).drop("error", "run_error", "matched", "known")
 

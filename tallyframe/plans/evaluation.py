@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.comparison import flag_ordered, match_predictors
-from tallyframe.operators.scoring import score
+from tallyframe.operators.fingerprints import chosen, fingerprints
+from tallyframe.operators.scoring import judged, known_examples
 
 
 def _settled(df: DataFrame, *keys: str) -> DataFrame:
@@ -18,13 +19,14 @@ def _settled(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def every_answer(examples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One prediction for each example and predictor, and those of unknown ids.
+    """One prediction for each row of ``examples`` and each predictor, and those
+    of unknown ids.
 
     An example that a predictor left out gets a row with the error "no
     prediction". The list of predictors has one entry per model.
     """
     names = predictions.agg(F.collect_set("predictor")).scalar()
-    due = examples.select("id", F.explode(names).alias("predictor"))
+    due = examples.withColumn("predictor", F.explode(names))
     made = _settled(predictions, "id", "predictor").withColumn("_made", F.lit(True))
     missing = F.when(F.col("_made").isNull(), F.lit("no prediction")).otherwise(F.col("error"))
     return due.join(made, ["id", "predictor"], "full").withColumn("error", missing).drop("_made")
@@ -35,6 +37,7 @@ def evaluate(
     predictions: DataFrame,
     gold_rows: DataFrame,
     predicted_rows: DataFrame,
+    exact: bool = False,
 ) -> DataFrame:
     """Score every example for every predictor, once, in one plan.
 
@@ -42,10 +45,20 @@ def evaluate(
     sql, latency_ms, cost_usd, error, run_error. ``gold_rows``: id, pos, cells,
     once per example. ``predicted_rows``: predictor, id, pos, cells. Of rows that
     repeat an id (and predictor), the one with the greatest values counts.
+
+    Results are reduced to fingerprints where they lie: one row per example, or
+    example and predictor, and map task is shuffled, never the cells. With
+    ``exact`` the rows themselves are compared.
     """
     examples = _settled(examples, "id")
-    answers = every_answer(examples, predictions)
-    flags = flag_ordered(examples).select("id", "ordered")
-    asked = answers.select("id", "predictor")
-    verdicts = match_predictors(flags, asked, gold_rows, predicted_rows)
-    return score(examples, answers, verdicts)
+    known = known_examples(flag_ordered(examples), "ordered")
+    if exact:
+        answers = every_answer(known.drop("ordered"), predictions)
+        verdicts = match_predictors(known.select("id", "ordered"), answers.select("id", "predictor"), gold_rows, predicted_rows)
+        return judged(answers.join(verdicts, ["id", "predictor"], "left"))
+    gold = fingerprints(gold_rows, "id")
+    wanted = known.join(gold, "id", "left").select(*known.columns, chosen("ordered").alias("_wanted"))
+    shown = fingerprints(predicted_rows, "id", "predictor")
+    answers = every_answer(wanted, predictions).join(shown, ["id", "predictor"], "left")
+    matched = F.col("_wanted") == chosen("ordered")
+    return judged(answers.withColumn("matched", matched).drop("_wanted", "as_set", "as_list", "ordered"))
