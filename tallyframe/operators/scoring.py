@@ -11,7 +11,7 @@ from tallyframe.functions.text import (
     starts_as_read,
     without_fence,
 )
-from tallyframe.operators.ordinals import high_index, upper_median, values_at
+from tallyframe.operators.ordinals import high_index, keyed, read_once, select_at, upper_median
 
 
 def refusal(col: str) -> Column:
@@ -109,23 +109,19 @@ def accuracy_by_category(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFra
     return scored.groupBy(*keys).agg(_share().alias("accuracy")).orderBy(*keys)
 
 
-def _latency_marks(scored: DataFrame, by: list[str]) -> DataFrame:
-    picks = {"p50": upper_median, "p95": high_index(0.95)}
-    return values_at(scored, by, "latency_ms", picks).drop("n")
+_MARKS = {"p50": upper_median, "p95": high_index(0.95)}
 
 
 def latency_stats(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """p50, p95 (values at an index, not interpolated) and mean; zeros
-    without rows. Failed calls count."""
-    marks = _latency_marks(scored, list(by))
-    mean = scored.groupBy(*by).agg(F.avg("latency_ms").alias("mean"))
+    without rows. Failed calls count. The rows are read twice."""
+    rows = keyed(scored, list(by), "latency_ms")
+    cells = read_once(rows.groupBy("_g", "_cell").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_sum")))
+    mean = cells.groupBy("_g").agg((F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"))
+    joined = mean.join(select_at(rows, cells, _MARKS), "_g", "left")
     if by:
-        return mean.join(marks, list(by), "left").select(*by, "p50", "p95", "mean")
-    # Without groups both sides are at most one row: stack them and fold.
-    stacked = marks.unionByName(mean, allowMissingColumns=True)
-    return stacked.agg(
-        *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("p50", "p95", "mean")]
-    )
+        return joined.select(*[F.col("_g")[c].alias(c) for c in by], "p50", "p95", "mean")
+    return joined.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("p50", "p95", "mean")])
 
 
 def total_cost(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -159,17 +155,18 @@ def report(scored: DataFrame, predictors: DataFrame | None = None) -> DataFrame:
     """One row per predictor. ``predictors`` may list some without any row.
 
     The failures stay a table of their own (``failures``): as an array in the
-    report row they would gather an unbounded group in one task.
+    report row they would gather an unbounded group in one task. A null predictor
+    is one like any other. The rows are read twice: once for all counts and sums,
+    once for the latencies around the wanted places.
     """
-    parts = scored.groupBy("predictor", "category").agg(
-        F.count("*").alias("n"),
-        F.count_if("correct").alias("hits"),
-        F.sum("cost_usd").alias("cost"),
-        F.sum("latency_ms").alias("latency"),
-        F.count("latency_ms").alias("timed"),
-    )
+    rows = keyed(scored, ["predictor"], "latency_ms")
+    sums = {"n": F.count("*"), "hits": F.count_if("correct"), "cost": F.sum("cost_usd"), "latency": F.sum("_v"), "timed": F.count("_v")}
+    # The one pass over all rows; what follows works on its few counts.
+    counts = read_once(rows.groupBy("_g", "category", "_cell").agg(*[c.alias(name) for name, c in sums.items()]))
+    parts = counts.groupBy("_g", "category").agg(*[F.sum(name).alias(name) for name in sums])
+    cells = counts.groupBy("_g", "_cell").agg(F.sum("timed").alias("_n"))
     share = (F.col("hits") / F.col("n")).alias("accuracy")
-    sums = parts.groupBy("predictor").agg(
+    totals = parts.groupBy("_g").agg(
         (F.sum("hits") / F.sum("n")).alias("accuracy"),
         F.sum("n").alias("n"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", share)))).alias(
@@ -179,16 +176,16 @@ def report(scored: DataFrame, predictors: DataFrame | None = None) -> DataFrame:
         (F.sum("latency") / F.nullif(F.sum("timed"), F.lit(0))).alias("mean"),
         (F.sum("n") - F.sum("hits")).alias("n_failures"),
     )
-    marks = _latency_marks(scored, ["predictor"])
-    joined = sums.join(marks, "predictor", "left").withColumn(
+    joined = totals.join(select_at(rows, cells, _MARKS).drop("n"), "_g", "left").withColumn(
         "latency_ms", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "mean")])
     )
     if predictors is not None:
-        joined = predictors.select("predictor").distinct().join(joined, "predictor", "left")
+        listed = predictors.select(F.struct("predictor", F.lit(0).alias("_")).alias("_g")).distinct()
+        joined = listed.join(joined, "_g", "left")
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("p50", "p95", "mean")])
     no_categories = F.create_map().cast("map<string,double>")
     return joined.select(
-        "predictor",
+        F.col("_g.predictor").alias("predictor"),
         F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"),
         F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("accuracy_by_category", no_categories).alias("accuracy_by_category"),
