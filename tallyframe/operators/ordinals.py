@@ -64,7 +64,7 @@ def keyed(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return with_integer_form(rows, "_v", "_key").withColumn("_cell", F.shiftright("_key", _FIRST))
 
 
-def _hit(counts: str, at: str) -> Column:
+def hit_in(counts: str, at: str) -> Column:
     """Where index ``at`` lies in an array of (k, n) sorted by k: that k and the
     rows before it."""
     return F.expr(f"""aggregate(array_sort({counts}), named_struct('before', 0L, 'k', cast(NULL AS bigint)), (a, x) -> CASE
@@ -93,7 +93,7 @@ def select_at(rows: DataFrame, cells: DataFrame, picks: dict[str, object]) -> Da
     # One row per large group: the cells with a wanted index, and what is wanted there.
     groups = cells.groupBy("_g").agg(F.sum("_n").alias("n"), F.collect_list(F.struct(F.col("_cell").alias("k"), F.col("_n").alias("n"))).alias("_cells"))
     asked = (
-        groups.where(F.col("n") > share).withColumn("w", F.explode(wanted)).withColumn("_hit", _hit("_cells", "w.at"))
+        groups.where(F.col("n") > share).withColumn("w", F.explode(wanted)).withColumn("_hit", hit_in("_cells", "w.at"))
         .groupBy("_g", "n").agg(F.collect_list(F.struct(F.col("_hit.k").alias("_cell"), "w.pick", (F.col("w.at") - F.col("_hit.before")).alias("at"))).alias("_asked"))
     )
     # A row of a large group stays for the picks in its cell, any other row for all picks.
@@ -118,13 +118,13 @@ def select_at(rows: DataFrame, cells: DataFrame, picks: dict[str, object]) -> Da
     ).withColumn("n", F.coalesce("_of", "_all"))
     mine = F.filter(wanted, lambda w: (F.col("_pick") == "") | (w["pick"] == F.col("_pick")))
     found = (
-        subs.withColumn("w", F.explode(mine)).withColumn("_to", F.coalesce("_at", "w.at")).withColumn("_hit", _hit("_subs", "_to"))
+        subs.withColumn("w", F.explode(mine)).withColumn("_to", F.coalesce("_at", "w.at")).withColumn("_hit", hit_in("_subs", "_to"))
         .select(*group, F.col("_hit.k").alias("_sub"), "n", F.col("w.pick").alias("_name"), (F.col("_to") - F.col("_hit.before")).alias("_k"))
     )
     last = values.drop("n", "_at").join(found, [*group, "_sub"]).groupBy("_g", "_name", "n", "_k").agg(
         F.collect_list(F.struct(F.col("_key").alias("k"), F.col("_n").alias("n"), F.col("_v").alias("v"))).alias("_keys")
     )
-    hit = last.withColumn("_hit", _hit("_keys", "_k")).select("_g", "n", "_name", F.expr("filter(_keys, x -> x.k = _hit.k)[0].v").alias("_v"))
+    hit = last.withColumn("_hit", hit_in("_keys", "_k")).select("_g", "n", "_name", F.expr("filter(_keys, x -> x.k = _hit.k)[0].v").alias("_v"))
     return hit.groupBy("_g", "n").agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in picks])
 
 

@@ -7,6 +7,9 @@ the rank inside the cut. Hashes spread evenly, hence a stratum that holds a
 third of the table falls into even pieces, as many as its size asks for; a small
 stratum stays in one. The only window that is not cut runs over piece counts, at
 most 16**5 per stratum.
+
+A split needs no ranks: one comparison with the hash of the last row that belongs
+to the smaller part, found by counting.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import order_hash
 from tallyframe.functions.text import padded_id
+from tallyframe.operators.ordinals import hit_in
 
 PIECE_ROWS = 50_000
 _MAX_DIGITS = 5
 _MAX_BIG = 50_000
+MOST_LIMITS = 100_000
 
 _HASH, _GROUP, _PIECE, _RANK = "_hash", "_group", "_piece", "_rank"
 _DIGITS, _COUNT, _BEFORE, _TOTAL = "_digits", "_count", "_before", "_total"
@@ -102,6 +107,38 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return shuffled_positions(df, key, seed, in_order=True)
 
 
+def _digit(number: int) -> Column:
+    """The ``number``-th group of four hex digits of the hash, as a number."""
+    return F.conv(F.substring(_HASH, 4 * number + 1, 4), 16, 10).cast("bigint")
+
+
+def hash_limits(rows: DataFrame, key: str, quota, few: bool) -> DataFrame:
+    """(_group, _limit): the quota-th smallest (hash, key) of each group.
+
+    ``rows`` carry ``_group`` and ``_hash``; ``quota`` maps the size of a group to
+    a number from 1 to that size. A count by leading digits tells the cell of the
+    wanted row, a second one over the rows of that cell its next digits; of the
+    rows that agree in all eight, one in four thousand million, the row is
+    picked. ``few`` groups: the cells are broadcast, and no row is shuffled but
+    those of the wanted cells.
+    """
+    def looked_up(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if few else small
+
+    counts = rows.groupBy(_GROUP, _digit(0).alias("k")).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(_GROUP).agg(F.sum("n").alias(_TOTAL), F.collect_list(F.struct("k", "n")).alias("_cells"))
+    wanted = sizes.withColumn("_at", (quota(F.col(_TOTAL)) - 1).cast("bigint")).withColumn("_hit", hit_in("_cells", "_at")).select(
+        _GROUP, F.col("_hit.k").alias("_cell"), (F.col("_at") - F.col("_hit.before")).alias("_at")
+    )
+    near = rows.select(_GROUP, _HASH, key, _digit(0).alias("_cell")).join(looked_up(wanted), [_GROUP, "_cell"])
+    parts = near.groupBy(_GROUP, "_at", _digit(1).alias("k")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(_HASH).alias("hash"), F.col(key).alias("key")))).alias("_members")
+    )
+    chosen = parts.groupBy(_GROUP, "_at").agg(F.collect_list(F.struct("k", "n")).alias("_cells")).withColumn("_hit", hit_in("_cells", "_at"))
+    chosen = chosen.select(_GROUP, F.col("_hit.k").alias("k"), (F.col("_at") - F.col("_hit.before")).cast("int").alias("_nth"))
+    return parts.join(chosen, [_GROUP, "k"]).select(_GROUP, F.expr("_members[_nth]").alias("_limit"))
+
+
 def stratified_split(
     df: DataFrame,
     strata: str,
@@ -112,12 +149,22 @@ def stratified_split(
 ) -> DataFrame:
     """Mark each row 'eval' or 'train'.
 
-    Every stratum gives round-half-even(size * fraction) rows, one at least.
+    Every stratum gives round-half-even(size * fraction) rows, one at least: those
+    up to its quota-th smallest hash. No row is ranked or shuffled for that, a
+    comparison with the stratum's limit decides. The limits are broadcast if a
+    look at the strata's column finds at most ``MOST_LIMITS`` of them; else they
+    are joined.
     """
-    placed = shuffled_positions(df, key, seed, (strata,), "_pos", "_size")
-    quota = F.greatest(F.lit(1), F.bround(F.col("_size") * F.lit(fraction), 0).cast("bigint"))
-    mark = F.when(F.col("_pos") < quota, F.lit("eval")).otherwise(F.lit("train"))
-    return placed.withColumn(column, mark).drop("_pos", "_size")
+    few = df.select(strata).distinct().limit(MOST_LIMITS + 1).count() <= MOST_LIMITS
+    rows = df.withColumns({_HASH: order_hash(seed, key), _GROUP: F.struct(F.col(strata), F.lit(0).alias("_"))})
+
+    def quota(size: Column) -> Column:
+        return F.greatest(F.lit(1), F.bround(size * F.lit(fraction), 0).cast("bigint"))
+
+    limits = hash_limits(rows, key, quota, few)
+    marked = rows.join(F.broadcast(limits) if few else limits, _GROUP)
+    within = F.struct(F.col(_HASH).alias("hash"), F.col(key).alias("key")) <= F.col("_limit")
+    return marked.withColumn(column, F.when(within, F.lit("eval")).otherwise(F.lit("train"))).drop(_HASH, _GROUP, "_limit")
 
 
 def split_summary(df: DataFrame, strata: str, column: str = "split") -> DataFrame:

@@ -100,3 +100,11 @@ def test_no_result_row_is_shuffled(spark, name):
     df = CATALOG[name](spark, FOLDER)
     exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", _formatted(spark, df))
     assert exchanges and not any(re.search(r"cells#|_h\d#|_p\d#|l_extendedprice|o_totalprice", x) for x in exchanges)
+
+
+def test_a_split_neither_ranks_nor_shuffles_the_rows(spark):
+    df = CATALOG["d05_stratified_split"](spark, FOLDER)
+    text = _formatted(spark, df)
+    assert not re.search(r"\) Window\b|SortMergeJoin", text)
+    top = text[:text.index("Exchange")]
+    assert "BroadcastHashJoin" in top  # nothing but the limits lies below an exchange

@@ -25,6 +25,13 @@ def test_hot_stratum_is_cut_into_pieces(hot):
     assert tuple(top) == (0, N // 3 - 1, N // 3, N // 3)
 
 
+def test_split_of_a_hot_stratum(hot):
+    summary = positions.split_summary(positions.stratified_split(hot, "key", "id", 0.1, 5), "key")
+    sizes = {r.key: (r.train + r.eval, r.eval) for r in summary.collect()}
+    assert sizes[0] == (N // 3, N // 30) and len(sizes) == 998
+    assert all(e == max(1, round(n * 0.1)) for n, e in sizes.values())
+
+
 def test_hot_predictor(hot):
     scored = hot.select(
         F.format_string("e%06d", "id").alias("id"), F.col("key").cast("string").alias("predictor"),
