@@ -42,4 +42,5 @@ def write_failures(failed: DataFrame, path: str) -> None:
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{FAILURE_FIELDS}, predictor string").json(path)
+    """Failures as written by ``write_failures``. Malformed content is an error."""
+    return spark.read.schema(f"{FAILURE_FIELDS}, predictor string").option("mode", "FAILFAST").json(path)
