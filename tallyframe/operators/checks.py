@@ -1,7 +1,13 @@
-"""Table constraints as quality jobs: (rule, violations)."""
+"""Table constraints as quality jobs: (rule, violations).
+
+``check_tables`` takes the constraints of several tables and reads each table
+once; the other functions check one constraint of one table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,3 +78,71 @@ def check_foreign_key(
     parents = parent.select(F.col(key).alias(column))
     orphans = keys.join(parents, column, "left_anti")
     return _as_rule(orphans, f"{table}.{column} references {key}", F.sum("_n"))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The constraints of one table. ``references`` maps a column to the table
+    whose primary key, a single column, it names."""
+
+    primary_key: tuple[str, ...] = ()
+    required: tuple[str, ...] = ()
+    domains: Mapping[str, list] = field(default_factory=dict)
+    ranges: Mapping[str, tuple] = field(default_factory=dict)
+    unique: tuple[tuple[str, ...], ...] = ()
+    references: Mapping[str, str] = field(default_factory=dict)
+
+
+def _key_text(columns: tuple[str, ...]) -> Column:
+    """A key as text, null if a part is null."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    return F.when(whole, F.to_json(F.struct(*columns)))
+
+
+def check_tables(tables: Mapping[str, DataFrame], rules: Mapping[str, Rules]) -> DataFrame:
+    """Count the violations of all constraints, each table read once.
+
+    A row gives a mark for each rule on its own columns that it breaks, for each
+    of its keys and for each reference. Marks are summed up before the one
+    shuffle, by key space and key: the marks of a parent's key and of all
+    references to it meet there, and repeated keys show as sums above one. A key
+    that a third of all rows name is one mark per map task.
+    """
+    names: dict[str, Column] = {}  # rule -> its violations in a group of marks
+    marks = []
+    key, n, lost = F.col("_key"), F.col("_n"), F.col("_own") == 0
+    for table, r in rules.items():
+        found = []
+
+        def mark(space: str, rule: str, text: Column, own: bool, only: Column | None = None) -> None:
+            cells = [F.lit(space).alias("space"), F.lit(rule).alias("rule"), text.cast("string").alias("key"), F.lit(own).alias("own")]
+            found.append(F.struct(*cells) if only is None else F.when(only, F.struct(*cells)))
+
+        broken = {f"{table}.{c} not null": is_missing(c) for c in r.required}
+        broken |= {f"{table}.{c} in domain": outside_domain(c, values) for c, values in r.domains.items()}
+        broken |= {f"{table}.{c} in range": outside_range(c, *limits) for c, limits in r.ranges.items()}
+        for rule, bad in broken.items():
+            mark("rows", rule, F.lit(None), False, bad)
+            names[rule] = F.when(F.col("_rule") == rule, n)
+        for columns in ([r.primary_key] if r.primary_key else []) + list(r.unique):
+            main = columns == r.primary_key
+            rule = f"{table}({', '.join(columns)}) {'primary key' if main else 'unique'}"
+            mark(table if main else rule, rule, _key_text(columns), True, None if main else _key_text(columns).isNotNull())
+            names[rule] = F.when(F.col("_rule") == rule, F.when(key.isNull(), n).otherwise(n - 1))
+        for column, parent in r.references.items():
+            rule = f"{table}.{column} references {rules[parent].primary_key[0]}"
+            mark(parent, rule, F.col(column), False, F.col(column).isNotNull())
+            names[rule] = F.when((F.col("_rule") == rule) & lost, n)
+        if found:
+            marks.append(tables[table].select(F.explode(F.array_compact(F.array(*found))).alias("_m")).select("_m.*"))
+    counted = reduce(DataFrame.unionByName, marks).groupBy("space", "key", "rule", "own").agg(F.count("*").alias("n"))
+    # All rules that a key meets, at most as many as there are rules.
+    met = counted.groupBy("space", F.col("key").alias("_key")).agg(
+        F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("_own"), F.collect_list(F.struct("rule", "n")).alias("_met")
+    )
+    each = met.select("_key", "_own", F.explode("_met").alias("_r")).select("_key", "_own", F.col("_r.rule").alias("_rule"), F.col("_r.n").alias("_n"))
+    sums = each.agg(*[F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias(f"_{i}") for i, bad in enumerate(names.values())])
+    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations")) for i, rule in enumerate(names)]
+    return sums.select(F.explode(F.array(*pairs)).alias("_r")).select("_r.*")

@@ -82,6 +82,27 @@ def preview(results: DataFrame, k: int = 6) -> DataFrame:
     )
 
 
+def recorded_run(scored: DataFrame, predicted_rows: DataFrame, k: int = 6) -> DataFrame:
+    """One row per scored answer with the first ``k`` rows of its result, the full
+    count, whether rows are left out, and the error. An answer with an error, or
+    without result rows, shows none.
+
+    ``scored`` as from ``score``; ``predicted_rows``: id, predictor, pos, cells.
+    """
+    key = F.struct("id", "predictor").alias("example_id")
+    shown = preview(predicted_rows.select(key, "pos", "cells"), k)
+    told = F.col("exec_error").isNull() & F.col("result_rows").isNotNull()
+    joined = scored.withColumn("example_id", F.struct("id", "predictor")).join(shown, "example_id", "left")
+    return joined.select(
+        "id", "predictor", "category", "question", "gold_sql", F.col("sql").alias("pred_sql"),
+        F.round("latency_ms", 1).alias("latency_ms"), "correct",
+        F.when(told, F.col("result_rows")).otherwise(F.array().cast("array<array<string>>")).alias("result_rows"),
+        F.when(told, F.col("result_row_count")).otherwise(F.lit(0)).alias("result_row_count"),
+        F.when(told, F.col("result_truncated")).otherwise(F.lit(False)).alias("result_truncated"),
+        F.col("exec_error").alias("error"),
+    )
+
+
 def capped(df: DataFrame, cap: int, order: list[str]) -> DataFrame:
     """At most ``cap`` rows, each with the true ``row_count`` and ``truncated``."""
     total = df.agg(F.count("*")).scalar()

@@ -67,3 +67,56 @@ def _c06_self(t):
     lost = F.when(F.col("turn") % 3 == 2, -1 - F.col("conv_id")).otherwise(me - 1)
     turns = t["conversations"].select(me.alias("me"), F.when(F.col("turn") > 0, lost).alias("boss"))
     return c.check_foreign_key(turns, "boss", turns, "me", "turns")
+
+
+# The constraints of the star schema, some of them broken by the tables.
+_RULES = {
+    "nation": c.Rules(("n_nationkey",), ("n_name",), unique=(("n_name",), ("n_regionkey",)), references={"n_regionkey": "region"}),
+    "region": c.Rules(("r_regionkey",), ("r_name",)),
+    "customer": c.Rules(("c_custkey",), ("c_name",), {"c_mktsegment": ["BUILDING", "MACHINERY"]}, {"c_acctbal": (0, 9000)}, references={"c_nationkey": "nation"}),
+    "supplier": c.Rules(("s_suppkey",), ("s_name",), references={"s_nationkey": "nation"}),
+    "part": c.Rules(("p_partkey",), ranges={"p_size": (1, 40)}, unique=(("p_brand", "p_type", "p_size"),)),
+    "orders": c.Rules(("o_orderkey",), ("o_custkey", "o_orderdate"), {"o_orderstatus": ["O", "F"]}, references={"o_custkey": "customer"}),
+    "lineitem": c.Rules(("l_orderkey", "l_linenumber"), ranges={"l_discount": (0, 0.08)},
+                        references={"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
+    "events": c.Rules(("event_id",), ("props",), references={"user_id": "supplier"}),
+    "labels": c.Rules(("doc_id",), domains={"quality": [1]}, references={"doc_id": "documents"}),
+    "documents": c.Rules(("doc_id",), ("text",)),
+    "conversations": c.Rules(("conv_id", "turn"), domains={"role": ["user", "assistant"]}, unique=(("conv_id",),)),
+}
+
+
+def _sql_rules() -> str:
+    """Each rule as a statement of its own."""
+    parts = []
+
+    def part(rule: str, table: str, count: str) -> None:
+        parts.append(f"SELECT '{rule}' AS rule, CAST(coalesce({count}, 0) AS BIGINT) AS violations FROM {table}")
+
+    for table, r in _RULES.items():
+        for column in r.required:
+            part(f"{table}.{column} not null", table, f"count(*) FILTER ({column} IS NULL)")
+        for column, values in r.domains.items():
+            inside = ", ".join(repr(v) for v in values)
+            part(f"{table}.{column} in domain", table, f"count(*) FILTER ({column} NOT IN ({inside}))")
+        for column, (low, high) in r.ranges.items():
+            part(f"{table}.{column} in range", table, f"count(*) FILTER ({column} NOT BETWEEN {low} AND {high})")
+        key = ", ".join(r.primary_key)
+        null_part = " OR ".join(f"{k} IS NULL" for k in r.primary_key)
+        part(f"{table}({key}) primary key", f"(SELECT count(*) AS n, {null_part} AS nulls FROM {table} GROUP BY {key}, nulls)",
+             "sum(CASE WHEN nulls THEN n ELSE n - 1 END)")
+        for columns in r.unique:
+            key = ", ".join(columns)
+            known = " AND ".join(f"{k} IS NOT NULL" for k in columns)
+            part(f"{table}({key}) unique", f"(SELECT count(*) AS n FROM {table} WHERE {known} GROUP BY {key})", "sum(n - 1)")
+        for column, parent in r.references.items():
+            target = _RULES[parent].primary_key[0]
+            part(f"{table}.{column} references {target}", table,
+                 f"count(*) FILTER ({column} IS NOT NULL AND {column} NOT IN (SELECT {target} FROM {parent} WHERE {target} IS NOT NULL))")
+    return " UNION ALL ".join(parts)
+
+
+@query("c_check_tables", _sql_rules())
+def _all_rules(t):
+    """All constraints of eleven tables in one plan, each table read once."""
+    return c.check_tables(t, _RULES)

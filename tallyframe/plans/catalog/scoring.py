@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import collapse_space
+from tallyframe.functions.text import collapse_space, percent
 from tallyframe.operators import comparison as cmp
 from tallyframe.operators import reporting as rep
 from tallyframe.operators import scoring as sc
 from tallyframe.plans.catalog.derived import PREDICTORS, SQL_SCORED, rounded, scored
 from tallyframe.plans.catalog.registry import query, sql_round
 from tallyframe.plans.evaluation import evaluate
+from tallyframe.session import scratch_path
+from tallyframe.sources import runs
 
 # Every document becomes a statement or a model answer; which kind follows from
 # its language, so all kinds occur.
@@ -418,3 +420,106 @@ def _evaluate(t):
     return result.groupBy("predictor", "category").agg(
         F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy")
     )
+
+
+# A whole run: the predictors above, with latencies, token prices (none for
+# "wrong"), answers that failed and statements that failed.
+_SQL_RUN = """g AS (SELECT c_custkey, c_mktsegment, c_mktsegment IN ('BUILDING', 'MACHINERY') AS ordered,
+                      count(o_orderkey) AS n, max(o_orderkey) AS top
+               FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+    answers AS (SELECT *, CASE WHEN predictor = 'echo' AND c_custkey % 50 = 0 THEN 'predictor error: timeout'
+            WHEN predictor = 'reversed' AND c_custkey % 60 = 1 THEN 'execution error: no such column: x' END AS exec_error,
+        (c_custkey * 37 + length(predictor)) % 1009 + 0.25 AS latency_ms,
+        CASE predictor WHEN 'echo' THEN c_custkey % 100 / 1e6 * 1.013 + c_custkey % 7 / 1e6 * 5.07
+            WHEN 'reversed' THEN c_custkey % 100 / 1e6 * 3.013 + c_custkey % 7 / 1e6 * 15.07 END AS cost_usd
+        FROM g, (VALUES ('echo'), ('reversed'), ('wrong')) p(predictor)),
+    run AS (SELECT *, exec_error IS NULL AND CASE predictor WHEN 'echo' THEN true WHEN 'wrong' THEN false
+            ELSE NOT ordered OR n = 0 OR (n = 1 AND top = 0) END AS correct FROM answers)"""
+
+
+def _run(t) -> tuple[DataFrame, DataFrame]:
+    """(scored answers, predicted rows) of that run."""
+    examples = t["customer"].select(
+        F.col("c_custkey").alias("id"), F.concat(F.lit("Orders of "), "c_name").alias("question"),
+        F.col("c_mktsegment").alias("category"), F.expr(_ORDER_TEXT).alias("sql"),
+    )
+    key, predictor = F.col("id"), F.col("predictor")
+    names = F.explode(F.array(*[F.lit(n) for n in ("echo", "reversed", "wrong")]))
+    used = examples.select(
+        "id", "sql", names.alias("predictor"), (key % 100).alias("input_tokens"), (key % 7).alias("output_tokens")
+    ).withColumn("model", predictor)
+    prices = t.spark.createDataFrame([("echo", 1.013, 5.07), ("reversed", 3.013, 15.07)], "model string, price_in double, price_out double")
+    predictions = sc.token_cost(used, prices).select(
+        "id", "predictor", "sql", ((key * 37 + F.length("predictor")) % 1009 + 0.25).alias("latency_ms"), "cost_usd",
+        F.when((predictor == "echo") & (key % 50 == 0), "timeout").alias("error"),
+        F.when((predictor == "reversed") & (key % 60 == 1), "no such column: x").alias("run_error"),
+    )
+    orders = t["orders"].select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"),
+                                cmp.pack_cells(t["orders"], ["o_totalprice"]).alias("cells"))
+    zero = examples.select(F.lit("wrong").alias("predictor"), "id", F.lit(0).cast("bigint").alias("pos"),
+                           F.array(F.lit("n:0")).alias("cells"))
+    predicted = (
+        orders.withColumn("predictor", F.lit("echo"))
+        .unionByName(orders.withColumn("pos", -F.col("pos")).withColumn("predictor", F.lit("reversed")))
+        .unionByName(zero)
+    )
+    return evaluate(examples, predictions, orders, predicted), predicted
+
+
+@query("e_run_from_files", f"""
+    WITH {_SQL_RUN}, marks AS (
+        SELECT predictor, max(latency_ms) FILTER (i = n // 2) AS p50,
+               max(latency_ms) FILTER (i = least(n - 1, cast(floor(n * 0.95) AS bigint))) AS p95
+        FROM (SELECT predictor, latency_ms, count(*) OVER (PARTITION BY predictor) AS n,
+                     row_number() OVER (PARTITION BY predictor ORDER BY latency_ms) - 1 AS i FROM run) GROUP BY predictor),
+    sums AS (SELECT predictor, avg(correct::int) AS accuracy, count(*) AS n, sum(cost_usd) / count(*) * 1000 AS cost
+             FROM run GROUP BY predictor),
+    board AS (SELECT 'leaderboard' AS part, predictor, '' AS item, printf('%.1f%%', accuracy * 100) || '|' || n || '|'
+            || printf('%.0f', p50) || '|' || printf('%.0f', p95) || '|'
+            || coalesce(printf('$%.4f', cost), 'n/a (no cost data)') AS shown FROM sums JOIN marks USING (predictor)),
+    matrix AS (SELECT 'matrix' AS part, predictor, c_mktsegment AS item, printf('%.1f%%', avg(correct::int) * 100) AS shown
+               FROM run GROUP BY ALL),
+    failed AS (SELECT predictor, c_custkey::varchar AS id, coalesce(exec_error, '') AS shown,
+                      row_number() OVER (PARTITION BY predictor ORDER BY c_custkey::varchar) AS place,
+                      count(*) OVER (PARTITION BY predictor) AS n FROM run WHERE NOT correct)
+    SELECT * FROM board UNION ALL SELECT * FROM matrix
+    UNION ALL SELECT 'failure', predictor, id, shown || '|' || greatest(n - 10, 0) FROM failed WHERE place <= 10""")
+def _run_files(t):
+    """From predictions to files, and from the files the leaderboard, the matrix
+    and the first failures, one line each."""
+    folder = scratch_path(t.spark, "runs")
+    runs.write_run(_run(t)[0], folder, "first")
+    run = runs.read_run(t.spark, folder, "first")
+    lit, join = F.lit, F.concat_ws
+    board = rep.leaderboard(run.reports).select(
+        lit("leaderboard").alias("part"), "predictor", lit("").alias("item"),
+        join("|", "accuracy", F.col("n").cast("string"), "p50_ms", "p95_ms", "cost_per_1k").alias("shown"),
+    )
+    matrix = rep.category_matrix(run.reports, ["echo", "reversed", "wrong"])
+    cells = matrix.select("category", F.explode(F.create_map(*[x for p in ("echo", "reversed", "wrong") for x in (lit(p), F.col(p))])).alias("predictor", "a"))
+    matrix = cells.where("a IS NOT NULL").select(lit("matrix").alias("part"), "predictor", F.col("category").alias("item"), percent("a").alias("shown"))
+    first = rep.top_failures(run.failures).select(
+        lit("failure").alias("part"), "predictor", F.col("id").alias("item"),
+        join("|", F.coalesce("exec_error", lit("")), F.col("remaining").cast("string")).alias("shown"),
+    )
+    return board.unionByName(matrix).unionByName(first)
+
+
+@query("e_recorded_run", f"""
+    WITH {_SQL_RUN}, shown AS (
+        SELECT 'echo' AS predictor, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders
+        UNION ALL SELECT 'reversed', o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY -o_orderkey) FROM orders
+        UNION ALL SELECT 'wrong', c_custkey, 0, 1 FROM customer),
+    sizes AS (SELECT predictor, o_custkey, count(*) AS rows_, string_agg('n:' || cast(round_even(o_totalprice * 100, 0) AS bigint), '|' ORDER BY place)
+            FILTER (place <= 6) AS head FROM shown GROUP BY ALL)
+    SELECT c_custkey AS id, run.predictor, c_mktsegment AS category, round(latency_ms, 1) AS latency_ms, correct,
+        CASE WHEN exec_error IS NULL THEN coalesce(head, '') ELSE '' END AS head,
+        CASE WHEN exec_error IS NULL THEN coalesce(rows_, 0) ELSE 0 END AS result_row_count,
+        exec_error IS NULL AND coalesce(rows_, 0) > 6 AS result_truncated, exec_error AS error
+    FROM run LEFT JOIN sizes ON o_custkey = c_custkey AND sizes.predictor = run.predictor""")
+def _recorded(t):
+    """Every scored answer with the head of its result."""
+    scored_rows, predicted = _run(t)
+    head = F.array_join(F.transform("result_rows", lambda r: r[0]), "|").alias("head")
+    return rep.recorded_run(scored_rows, predicted).select(
+        "id", "predictor", "category", "latency_ms", "correct", head, "result_row_count", "result_truncated", "error")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import reporting as rep
 from tallyframe.operators import scoring as sc
+from tallyframe.operators.calllog import stats_by_predictor
 from tallyframe.plans.catalog.derived import SQL_CALLS, SQL_SCORED, calls, scored
 from tallyframe.plans.catalog.registry import query, sql_round
 from tallyframe.session import scratch_path, stored
@@ -58,6 +59,29 @@ def _s03(t):
     return rows.select("predictor", "category", "accuracy", "n")
 
 
+@query("s03_indented_reports", f"""
+    WITH {SQL_SCORED}, x AS (SELECT predictor, count(*) AS n FROM scored GROUP BY predictor),
+    f AS (SELECT predictor, id, coalesce(exec_error, '') AS shown, row_number() OVER (PARTITION BY predictor ORDER BY id) AS place
+          FROM scored WHERE NOT correct)
+    SELECT predictor, 'category' AS part, category AS item, avg(correct::int::double)::varchar AS shown, any_value(x.n) AS n
+    FROM scored JOIN x USING (predictor) GROUP BY predictor, category
+    UNION ALL SELECT predictor, 'failure', id, shown, x.n FROM f JOIN x USING (predictor) WHERE place <= 10""")
+def _s03_indented(t):
+    """Each report an indented object in a file of its own, with its first
+    failures inside; all files read at once, map and list as rows."""
+    path, rows = scratch_path(t.spark, "indented"), scored(t)
+    first = rep.top_failures(sc.failures(rows))
+    lists = first.groupBy("predictor").agg(F.array_sort(F.collect_list(F.struct(
+        "id", "question", "category", "gold_sql", "pred_sql", "exec_error"))).alias("failures"))
+    rp.write_report(sc.report(rows).join(lists, "predictor", "left"), path, one_per_file=True)
+    reports = rp.read_reports(t.spark, path)
+    listed = rp.report_failures(reports).select("predictor", F.lit("failure").alias("part"), F.col("id").alias("item"),
+                                                F.coalesce("exec_error", F.lit("")).alias("shown"))
+    cells = rep.category_rows(reports).select("predictor", F.lit("category").alias("part"), F.col("category").alias("item"),
+                                              F.col("accuracy").cast("string").alias("shown"))
+    return cells.unionByName(listed).join(reports.select("predictor", "n"), "predictor")
+
+
 @query("s05_failures_round_trip", f"""
     WITH {SQL_SCORED} SELECT predictor, id, question, category, gold_sql, sql AS pred_sql, exec_error
     FROM scored WHERE NOT correct""")
@@ -123,6 +147,28 @@ def _s07_stream(t):
     )
 
 
+_STATS = f"""count(*) AS n_calls, {sql_round('nullif(avg(latency_ms), 0)', 1)} AS avg_latency_ms,
+    {sql_round('sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) / nullif(count(*), 0)', 3)} AS success_rate,
+    coalesce({sql_round('sum(cost_usd)', 6)}, 0.0) AS total_cost_usd"""
+
+
+@query("l03_stats_from_commits", f"""
+    WITH {SQL_CALLS} SELECT coalesce(predictor, 'all') AS predictor, {_STATS}
+    FROM (SELECT * REPLACE (cost_usd * 1.013 AS cost_usd) FROM calls) GROUP BY ROLLUP (predictor)""")
+def _l03_commits(t):
+    """Appends, one of them repeated, and a compaction; the statistics come from
+    the commits, no call is read."""
+    path = scratch_path(t.spark, "calls")
+    rows = calls(t).drop("event_id").withColumn("cost_usd", F.col("cost_usd") * 1.013)
+    for number, (first, last) in enumerate((("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01"))):
+        part = rows.where((F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") < F.lit(last).cast("timestamp_ntz")))
+        log.append_calls(part, path, f"part-{number}")
+        if number == 1:
+            log.append_calls(part, path, f"part-{number}")
+            log.compact_calls(t.spark, path)
+    return stats_by_predictor(log.live_sums(t.spark, path), sums=True)
+
+
 @query("s08_table_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in SCHEMAS))
 def _s08(t):

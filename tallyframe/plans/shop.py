@@ -8,7 +8,6 @@ choices still reach the parquet scan.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,28 +74,25 @@ def load_shop(spark: SparkSession, folder: str) -> Tables:
     return load_tables(spark, folder, SHOP_SCHEMAS)
 
 
-def check_shop(shop: Mapping[str, DataFrame]) -> DataFrame:
-    """All constraints of the shop: (rule, violations). Row rules of a table
-    share one scan."""
-    parts = []
+def shop_rules() -> dict[str, checks.Rules]:
+    """The shop's constraints by table."""
+    rules = {}
     for table, key in PRIMARY_KEYS.items():
-        df = shop[table]
-        required = [c for c in df.columns if c not in NULLABLE.get(table, set()) | {key}]
-        rules = {f"{table}.{c} not null": checks.is_missing(c) for c in required}
-        for (owner, column), values in DOMAINS.items():
-            if owner == table:
-                rules[f"{table}.{column} in domain"] = checks.outside_domain(column, values)
-        if table == "reviews":
-            rules["reviews.rating in range"] = checks.outside_range("rating", *RATING_RANGE)
-        parts += [checks.check_rows(df, rules), checks.check_primary_key(df, [key], table)]
-    parts.append(checks.check_unique(shop["customers"], ["email"], "customers"))
-    for child, column, parent in FOREIGN_KEYS:
-        parts.append(
-            checks.check_foreign_key(
-                shop[child], column, shop[parent], PRIMARY_KEYS[parent], child
-            )
+        columns = [c.split()[0] for c in SHOP_SCHEMAS[table].split(", ")]
+        rules[table] = checks.Rules(
+            primary_key=(key,),
+            required=tuple(c for c in columns if c not in NULLABLE.get(table, set()) | {key}),
+            domains={c: values for (owner, c), values in DOMAINS.items() if owner == table},
+            ranges={"rating": RATING_RANGE} if table == "reviews" else {},
+            unique=(("email",),) if table == "customers" else (),
+            references={c: parent for child, c, parent in FOREIGN_KEYS if child == table},
         )
-    return reduce(DataFrame.unionByName, parts)
+    return rules
+
+
+def check_shop(shop: Mapping[str, DataFrame]) -> DataFrame:
+    """All constraints of the shop: (rule, violations). Each table is read once."""
+    return checks.check_tables(shop, shop_rules())
 
 
 def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:

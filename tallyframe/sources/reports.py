@@ -29,9 +29,13 @@ def report_failures(reports: DataFrame) -> DataFrame:
     return reports.select("predictor", F.explode("failures").alias("_f")).select("predictor", "_f.*")
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """One report per line; structs and maps stay nested."""
-    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_report(report: DataFrame, path: str, one_per_file: bool = False) -> None:
+    """One report per line; structs and maps stay nested. ``one_per_file`` writes
+    each as an indented object in a file of its own."""
+    out = report.write.mode("overwrite").option("ignoreNullFields", "false")
+    if one_per_file:
+        out = out.option("maxRecordsPerFile", 1).option("pretty", "true")
+    out.json(path)
 
 
 def write_failures(failed: DataFrame, path: str) -> None:

@@ -108,3 +108,10 @@ def test_a_split_neither_ranks_nor_shuffles_the_rows(spark):
     assert not re.search(r"\) Window\b|SortMergeJoin", text)
     top = text[:text.index("Exchange")]
     assert "BroadcastHashJoin" in top  # nothing but the limits lies below an exchange
+
+
+def test_all_constraints_read_each_table_once(spark):
+    df = CATALOG["c_check_tables"](spark, FOLDER)
+    text = _formatted(spark, df)
+    assert len(re.findall(r"\) Scan parquet", text)) == 11
+    assert len(re.findall(r"\) Exchange", text)) == 3  # marks, keys, one row of sums
