@@ -94,55 +94,64 @@ class Rules:
 
 
 def _key_text(columns: tuple[str, ...]) -> Column:
-    """A key as text, null if a part is null."""
+    """A key as text, null if a part is null. Parts are told apart by their lengths."""
     if len(columns) == 1:
         return F.col(columns[0]).cast("string")
-    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
-    return F.when(whole, F.to_json(F.struct(*columns)))
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for part in parts for x in (F.length(part).cast("string"), F.lit(":"), part)])
 
 
 def check_tables(tables: Mapping[str, DataFrame], rules: Mapping[str, Rules]) -> DataFrame:
     """Count the violations of all constraints, each table read once.
 
     A row gives a mark for each rule on its own columns that it breaks, for each
-    of its keys and for each reference. Marks are summed up before the one
-    shuffle, by key space and key: the marks of a parent's key and of all
-    references to it meet there, and repeated keys show as sums above one. A key
-    that a third of all rows name is one mark per map task.
+    of its keys and for each reference. Marks are counted before the shuffle, by
+    key space and key: a parent's key and all references to it meet there, and
+    repeated keys show as counts above one. A key that a third of all rows name
+    is one mark per map task.
     """
-    names: dict[str, Column] = {}  # rule -> its violations in a group of marks
-    marks = []
-    key, n, lost = F.col("_key"), F.col("_n"), F.col("_own") == 0
-    for table, r in rules.items():
-        found = []
+    spaces: list[str] = []
+    slots: dict[str, int] = {}  # references of a key space so far
+    found: list[tuple[str, int, str]] = []  # rule, its space and the sum that tells
 
-        def mark(space: str, rule: str, text: Column, own: bool, only: Column | None = None) -> None:
-            cells = [F.lit(space).alias("space"), F.lit(rule).alias("rule"), text.cast("string").alias("key"), F.lit(own).alias("own")]
-            found.append(F.struct(*cells) if only is None else F.when(only, F.struct(*cells)))
+    def space(name: str) -> int:
+        if name not in spaces:
+            spaces.append(name)
+        return spaces.index(name)
 
+    def mark(where: int, slot: int, key: Column, only: Column) -> Column:
+        return F.when(only, F.struct(F.lit(where).alias("space"), F.lit(slot).alias("slot"), key.cast("string").alias("key")))
+
+    marks = []
+    for table, r in rules.items():
+        own = []
         broken = {f"{table}.{c} not null": is_missing(c) for c in r.required}
         broken |= {f"{table}.{c} in domain": outside_domain(c, values) for c, values in r.domains.items()}
         broken |= {f"{table}.{c} in range": outside_range(c, *limits) for c, limits in r.ranges.items()}
         for rule, bad in broken.items():
-            mark("rows", rule, F.lit(None), False, bad)
-            names[rule] = F.when(F.col("_rule") == rule, n)
+            own.append(mark(space(rule), 0, F.lit(None), bad))
+            found.append((rule, space(rule), "all_0"))
         for columns in ([r.primary_key] if r.primary_key else []) + list(r.unique):
             main = columns == r.primary_key
             rule = f"{table}({', '.join(columns)}) {'primary key' if main else 'unique'}"
-            mark(table if main else rule, rule, _key_text(columns), True, None if main else _key_text(columns).isNotNull())
-            names[rule] = F.when(F.col("_rule") == rule, F.when(key.isNull(), n).otherwise(n - 1))
+            where, key = space(f"key of {table}" if main else rule), _key_text(columns)
+            own.append(mark(where, -1, key, F.lit(True) if main else key.isNotNull()))
+            found.append((rule, where, "surplus"))
         for column, parent in r.references.items():
-            rule = f"{table}.{column} references {rules[parent].primary_key[0]}"
-            mark(parent, rule, F.col(column), False, F.col(column).isNotNull())
-            names[rule] = F.when((F.col("_rule") == rule) & lost, n)
-        if found:
-            marks.append(tables[table].select(F.explode(F.array_compact(F.array(*found))).alias("_m")).select("_m.*"))
-    counted = reduce(DataFrame.unionByName, marks).groupBy("space", "key", "rule", "own").agg(F.count("*").alias("n"))
-    # All rules that a key meets, at most as many as there are rules.
-    met = counted.groupBy("space", F.col("key").alias("_key")).agg(
-        F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("_own"), F.collect_list(F.struct("rule", "n")).alias("_met")
-    )
-    each = met.select("_key", "_own", F.explode("_met").alias("_r")).select("_key", "_own", F.col("_r.rule").alias("_rule"), F.col("_r.n").alias("_n"))
-    sums = each.agg(*[F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias(f"_{i}") for i, bad in enumerate(names.values())])
-    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations")) for i, rule in enumerate(names)]
-    return sums.select(F.explode(F.array(*pairs)).alias("_r")).select("_r.*")
+            name = f"key of {parent}"
+            slots[name] = slots.get(name, -1) + 1
+            own.append(mark(space(name), slots[name], F.col(column), F.col(column).isNotNull()))
+            found.append((f"{table}.{column} references {rules[parent].primary_key[0]}", space(name), f"lost_{slots[name]}"))
+        if own:
+            marks.append(tables[table].select(F.explode(F.array_compact(F.array(*own))).alias("m")).select("m.*"))
+
+    used = range(max([*slots.values(), 0]) + 1)
+    owners = F.count_if(F.col("slot") < 0).alias("owners")
+    counted = reduce(DataFrame.unionByName, marks).groupBy("space", "key").agg(owners, *[F.count_if(F.col("slot") == k).alias(f"n_{k}") for k in used])
+    surplus = F.when(F.col("key").isNull(), F.col("owners")).otherwise(F.greatest(F.col("owners") - 1, F.lit(0)))
+    lost = [F.sum(F.when(F.col("owners") == 0, F.col(f"n_{k}"))).alias(f"lost_{k}") for k in used]
+    sums = counted.groupBy("space").agg(F.sum(surplus).alias("surplus"), F.sum("n_0").alias("all_0"), *lost)
+    # A row per key space is left; every rule looks for its own.
+    told = [F.coalesce(F.sum(F.when(F.col("space") == where, F.col(column))), F.lit(0)).alias(f"_{i}") for i, (_, where, column) in enumerate(found)]
+    pairs = [F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations")) for i, (rule, _, _) in enumerate(found)]
+    return sums.agg(*told).select(F.explode(F.array(*pairs)).alias("_r")).select("_r.*")
