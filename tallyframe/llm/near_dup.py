@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tallyframe.llm import units
 from tallyframe.llm.components import components
@@ -93,8 +94,8 @@ def _key(shingle_set: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of every row; no key and no bands
-    where the text is null or has no word."""
+    """(doc_id, n_shingles, set_key, bands, text_key) of every row; no key and no
+    bands where the text is null or has no word. doc_id may be of any type."""
 
     def run(batches):
         for batch in batches:
@@ -106,13 +107,13 @@ def sketches(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     bands.append(band_keys(signature(s, p), p) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                     pa.array(bands, pa.list_(pa.int64())), part.column("text_key")],
+                    ["doc_id", "n_shingles", "set_key", "bands", "text_key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
-    )
+    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    more = StructType.fromDDL("n_shingles bigint, set_key binary, bands array<bigint>, text_key bigint")
+    return kept.mapInArrow(run, StructType([kept.schema["doc_id"], *more]))
 
 
 def _rebuilt(wanted: DataFrame, width: int) -> DataFrame:
@@ -192,11 +193,14 @@ def class_links(classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     buckets = classes.select("cid", F.explode("bands").alias("bucket"))
     members = stored(_shared_buckets(buckets), "members")
     wanted = members.select("cid").distinct().join(classes.drop("bands"), "cid")
-    # rep <=> doc_id would not be an equi-join on ids alone where ids are null.
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("rep_id"), "text").join(
-        wanted.select("cid", "set_key", F.coalesce("rep", F.lit(-1)).alias("rep_id")), "rep_id"
+    # One text for each class, by id and text: null ids meet by their text alone.
+    def named(of: str):
+        return F.coalesce(of, F.lit(-1)) if isinstance(docs.schema["doc_id"].dataType, LongType) else F.col(of)
+
+    texts = docs.select(named("doc_id").alias("rep_id"), F.xxhash64("text").alias("text_key"), "text").join(
+        wanted.select("cid", "set_key", named("rep").alias("rep_id"), "text_key"), ["rep_id", "text_key"]
     )
-    sets = stored(_rebuilt(texts, p.words), "sets")
+    sets = stored(_rebuilt(texts, p.words).dropDuplicates(["cid"]), "sets")
 
     alone = (
         _exploded(sets, "cid").groupBy("shingle").agg(F.count("*").alias("df"), F.min("cid").alias("cid"))
@@ -275,7 +279,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sketch = stored(sketches(docs, p), "sketch")
     classes = (
         sketch.where("set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"),
+             F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("text_key", F.col("first.text_key")).drop("first")
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = stored(classes, "classes")
@@ -288,7 +294,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     group = linked.join(lowest, "comp").select("set_key", "low").union(
         placed.join(labels.select("comp").distinct(), "comp", "left_anti").select("set_key", "rep")
     )
-    return sketch.drop("bands").join(group, "set_key", "left").select(
+    return sketch.drop("bands", "text_key").join(group, "set_key", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -297,17 +303,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def representatives(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that stay: exactly one row of each group.
 
-    Rows are known by a stored key, so null and repeated doc_ids are rows like
-    all others. Of a group the row with the smallest doc_id stays, nulls last,
-    then the one with the smallest key. Rows without words are in no group.
+    Rows are known by their doc_id and a 128-bit hash of all their columns, so null
+    and repeated doc_ids are rows like all others, and the key of a row is the
+    same on every read: no text is stored. Of a group the row with the smallest
+    doc_id stays, nulls last, then the one with the smallest hash; of equal rows
+    one. Rows without words are in no group.
     """
-    # Read twice below: the key of a row has to be the same both times.
-    keyed = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
-    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), p)
-    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(
-        keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key"
+    keyed = docs.select(
+        F.struct("*").alias("row"),
+        F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.unhex(F.md5(F.to_json(F.struct("*")))).alias("hash")).alias("key"),
     )
-    first = groups.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), p)
+    first = found.where("kept").groupBy(F.col("doc_id").alias("key")).agg(
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("copied")
     )
-    return keyed.join(stored(first.select("first.key"), "first"), "key", "left_semi").select("row.*")
+    first = stored(first, "first")
+    kept = keyed.join(first.where("not copied"), "key", "left_semi").select("row")
+    # Equal rows cannot be told apart: one of each is picked.
+    copied = keyed.join(first.where("copied"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return kept.unionByName(copied).select("row.*")
