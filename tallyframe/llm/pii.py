@@ -12,6 +12,7 @@ different seeds then mark unseen identifiers as spans of kind ``id``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,14 +23,19 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tallyframe.llm import units
 from tallyframe.session import stored
 
+ROUNDS, LEAST, SEEDS, SHORTEST = 3, 0.75, 3, 6
 KINDS = ("email", "ip", "card", "phone", "id")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An email is found from its "@": the longest run of local characters before it,
+# and a host after it. The other kinds begin where no match could have begun before.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IDENTIFIER = re.compile(r"[^\s,;:()\[\]<>\"']*[0-9][^\s,;:()\[\]<>\"']*")
+_RUN = re.compile(r"[^\s,;:()\[\]<>\"']+")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
-_REACH = 80  # characters on each side in which context words are looked for
+LONGEST_WORD = 80  # a longer word is no context; none is ever cut
 _FOUND = "spans array<struct<kind:int,s:int,e:int>>, met array<struct<s:int,e:int,item:string,seed:boolean,contexts:array<string>>>"
 
 
@@ -51,12 +57,25 @@ def _byte(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or "0") <= 255
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost, not overlapping; each character is looked at a few times at most."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+            done = host.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), ordered by start, then kind. Per kind leftmost, not
     overlapping; a match that fails its test is dropped and not tried again."""
     out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
+    out += [(0, a, b) for a, b in _emails(text)]
     if "." in text:
         out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
@@ -68,24 +87,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def _contexts(text: str, start: int, end: int) -> list[str]:
-    before = [m[0].lower() for m in _WORD.finditer(text, max(0, start - _REACH), start)][-2:]
-    after = _WORD.search(text, end, end + _REACH)
-    found = []
-    if before:
-        found.append(f"1 {before[-1]}")
-        if len(before) == 2:
-            found.append(f"2 {before[0]} {before[1]}")
-        if after:
-            found.append(f"3 {before[-1]} | {after[0].lower()}")
-    return found
+class Words:
+    """The words of a text by place. Up to a place, or from it, a word counts as far
+    as it reaches; one of more than ``LONGEST_WORD`` characters is no context."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+
+    def _shown(self, start: int, end: int) -> str | None:
+        return self.text[start:end].lower() if end - start <= LONGEST_WORD else None
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        i = bisect_left(self.starts, start) - 1  # the last word that begins before
+        one = self._shown(self.starts[i], min(self.ends[i], start)) if i >= 0 else None
+        if one is None:
+            return []
+        found = [f"1 {one}"]
+        two = self._shown(self.starts[i - 1], self.ends[i - 1]) if i >= 1 else None
+        if two is not None:
+            found.append(f"2 {two} {one}")
+        k = bisect_right(self.ends, end)  # the first word that ends after
+        after = self._shown(max(self.starts[k], end), self.ends[k]) if k < len(self.ends) else None
+        if after is not None:
+            found.append(f"3 {one} | {after}")
+        return found
 
 
 def identifiers(text: str, spans: list[tuple[int, int, int]], shortest: int) -> Iterator[tuple[int, int, bool]]:
     """(start, end, seed): the base spans, and other identifiers outside them."""
     yield from ((s, e, True) for _, s, e in spans)
     at = 0
-    for m in _IDENTIFIER.finditer(text):
+    for m in _RUN.finditer(text):
+        if not _DIGIT.search(m[0]):
+            continue
         a, b = m.start(), m.end()
         while b > a and not text[b - 1].isalnum():
             b -= 1
@@ -106,9 +142,10 @@ def _extracted(docs: DataFrame, shortest: int) -> DataFrame:
                     text = text or ""
                     base = base_spans(text) if _HINT.search(text) else []
                     spans.append([{"kind": k, "s": s, "e": e} for k, s, e in base])
+                    near = list(identifiers(text, base, shortest)) if _HINT.search(text) else []
+                    words = Words(text) if near else None
                     met.append([
-                        {"s": s, "e": e, "item": text[s:e].lower(), "seed": seed, "contexts": _contexts(text, s, e)}
-                        for s, e, seed in (identifiers(text, base, shortest) if _HINT.search(text) else ())
+                        {"s": s, "e": e, "item": text[s:e].lower(), "seed": seed, "contexts": words.contexts(s, e)} for s, e, seed in near
                     ])
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in keep), pa.array(spans, _SPANS), pa.array(met, _MET)],
@@ -145,7 +182,18 @@ def reliable_contexts(met: DataFrame, rounds: int, least: float, seeds: int) ->
     ).where((F.col("reliable") >= least) & (F.col("seeds") >= seeds)).select("context")
 
 
-def personal_spans(docs: DataFrame, rounds: int = 3, least: float = 0.75, seeds: int = 3, shortest: int = 6) -> DataFrame:
+def _added(met: DataFrame, row: str, rounds: int, least: float, seeds: int) -> DataFrame:
+    """(row, added): the spans of kind ``id`` that reliable contexts add, from the
+    stored identifiers (row, met). Equal rows may share a value of ``row``."""
+    each = met.select(row, F.explode("met").alias("m")).select(
+        row, "m.s", "m.e", "m.item", "m.seed", F.explode("m.contexts").alias("context")
+    )
+    good = stored(reliable_contexts(each, rounds, least, seeds), "contexts")
+    kept = each.where("not seed").join(good, "context", "left_semi").select(row, "s", "e").distinct()
+    return kept.groupBy(row).agg(F.collect_list(F.struct(F.lit(KINDS.index("id")).alias("kind"), "s", "e")).alias("added"))
+
+
+def personal_spans(docs: DataFrame, rounds: int = ROUNDS, least: float = LEAST, seeds: int = SEEDS, shortest: int = SHORTEST) -> DataFrame:
     """The columns of ``docs`` but text, and ``found``: (kind, s, e) in code
     points, ends exclusive, ordered by start, then kind; base spans always.
     ``docs`` has no column spans, met, found, added or row_number_: callers put
@@ -156,14 +204,7 @@ def personal_spans(docs: DataFrame, rounds: int = 3, least: float = 0.75, seeds:
     """
     met = _extracted(docs.withColumn("row_number_", F.monotonically_increasing_id()), shortest)
     met = stored(met, "identifiers")
-    each = met.select("row_number_", F.explode("met").alias("m")).select(
-        "row_number_", "m.s", "m.e", "m.item", "m.seed", F.explode("m.contexts").alias("context")
-    )
-    good = stored(reliable_contexts(each, rounds, least, seeds), "contexts")
-    added = (
-        each.where("not seed").join(good, "context", "left_semi").select("row_number_", "s", "e").distinct()
-        .groupBy("row_number_").agg(F.collect_list(F.struct(F.lit(KINDS.index("id")).alias("kind"), "s", "e")).alias("added"))
-    )
+    added = _added(met, "row_number_", rounds, least, seeds)
     both = met.drop("met").join(added, "row_number_", "left").withColumn(
         "found", F.concat("spans", F.coalesce("added", F.array().cast("array<struct<kind:int,s:int,e:int>>")))
     )
@@ -198,26 +239,30 @@ def masked(docs: DataFrame) -> DataFrame:
     names = list(KINDS)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     row = F.struct(*(F.col(f"`{f.name}`") for f in rest)).alias("row")
-    found = personal_spans(docs.select(row, "text", F.col("text").alias("copy")))
+    # The key of a row is the same on every read, so that only identifiers are stored
+    # and the texts are joined with what was added to them. Equal rows share it.
+    keyed = docs.select(row, "text", F.unhex(F.md5(F.to_json(F.struct("*")))).alias("key"))
+    met = stored(_extracted(keyed.select("key", "text"), SHORTEST).select("key", "met").where(F.size("met") > 0), "identifiers")
+    found = keyed.join(_added(met, "key", ROUNDS, LEAST, SEEDS), "key", "left").select("row", "text", "added")
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column("copy").to_pylist(), batch.column("found").to_pylist()
+            texts, lists = batch.column("text").to_pylist(), batch.column("added").to_pylist()
             out = []
-            for text, spans in zip(texts, lists, strict=True):
+            for text, added in zip(texts, lists, strict=True):
+                spans = base_spans(text) if text and _HINT.search(text) else []
+                spans = sorted([(s, k, e) for k, s, e in spans] + [(f["s"], f["kind"], f["e"]) for f in added or ()])
                 if spans:
                     parts, at = [], 0
-                    for f in spans:
-                        if f["s"] >= at:
-                            parts += [text[at : f["s"]], f"[{names[f['kind']]}]"]
-                        at = max(at, f["e"])
+                    for s, kind, e in spans:
+                        if s >= at:
+                            parts += [text[at:s], f"[{names[kind]}]"]
+                        at = max(at, e)
                     text = "".join([*parts, text[at:]])
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    out = found.select("row", "copy", "found").mapInArrow(
-        run, StructType([StructField("row", found.schema["row"].dataType), StructField("text", StringType())])
-    )
+    out = found.mapInArrow(run, StructType([StructField("row", found.schema["row"].dataType), StructField("text", StringType())]))
 
     def column(name: str):
         if name == "text":

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -198,3 +199,32 @@ def test_chat_rows(spark, cases):
     formatted = chat.formatted_turns(frame)
     assert got(chat.read_back(formatted)) == sorted(want, key=repr)
     assert chat.read_back(chat.formatted_turns(frame.where("false"))).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", "@", ".", "_", "-", "1", "22", "1.2.3.4", "+1", " ", "é", "(", "%"]), max_size=14).map("".join))
+def test_base_spans_equal_the_patterns(text):
+    assert [(s, k, e) for k, s, e in pii.base_spans(text)] == plain_base(text)
+
+
+@pytest.mark.parametrize("text", [
+    "x" * 1_000_000, "汉" * 1_000_000, "7" * 1_000_000, "1." * 500_000, "a." * 500_000, "a@" * 500_000, "a@b." * 250_000, "+1(" * 330_000,
+    "+1" + "(" * 1_000_000, "a1," * 330_000, "1 " * 500_000, "9-" * 500_000, "q" * 999_990 + "@a.example",
+])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    spans = pii.base_spans(text)
+    near = list(pii.identifiers(text, spans, 6))
+    words = pii.Words(text)
+    for s, e, _ in near[:20_000]:
+        words.contexts(s, e)
+    assert time.process_time() - began < 4
+
+
+def test_context_words_are_whole():
+    text = "a" * 30 + " my number " + "b" * 81 + " is " + " " * 200 + "x1234567  ok"
+    words, at = pii.Words(text), text.index("x1234567")
+    assert words.contexts(at, at + 8) == ["1 is", "3 is | ok"]  # the word before "is" is too long, none is cut
+    at = text.index("number")
+    assert words.contexts(at, at + 6) == ["1 my", "2 " + "a" * 30 + " my"]
+    assert pii.Words("to:x1").contexts(3, 5) == ["1 to:"] and pii.Words("x1 y").contexts(0, 2) == []
