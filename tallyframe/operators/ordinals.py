@@ -60,7 +60,9 @@ def high_index(share: float):
 def keyed(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """``df`` with the group as a struct (which groups and joins nulls), the value
     as a double, its integer form and its first digit, null where it is null."""
-    rows = df.withColumns({"_g": F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")), "_v": F.col(value).cast("double")})
+    # Without groups the key is still taken from the row: joins on a constant are no equi-joins.
+    same = F.lit(0) if by else F.hash(value).bitwiseAND(F.lit(0))
+    rows = df.withColumns({"_g": F.struct(*[F.col(c) for c in by], same.alias("_")), "_v": F.col(value).cast("double")})
     return with_integer_form(rows, "_v", "_key").withColumn("_cell", F.shiftright("_key", _FIRST))
 
 
