@@ -102,6 +102,23 @@ def shuffled_positions(
     return placed.drop(_HASH, _PIECE, _RANK, _BEFORE, _TOTAL)
 
 
+def ordered_positions(df: DataFrame, within: str, order: list[Column], cut: list[Column], position: str = "pos") -> DataFrame:
+    """Add the 0-based place of each row among the rows with its ``within``, by
+    ``order``, which has no ties.
+
+    ``cut`` are columns that never decrease along the order; they cut a large
+    group into pieces. Rows are ranked in their piece, after the rows of earlier
+    pieces, so a window over a whole group sees piece counts only.
+    """
+    rows = df.withColumn(_PIECE, F.struct(F.col(within).alias("_of"), *[c.alias(f"c{i}") for i, c in enumerate(cut)]))
+    counts = rows.groupBy(_PIECE).agg(F.count("*").alias(_COUNT))
+    earlier = Window.partitionBy(F.col(_PIECE)["_of"]).orderBy(_PIECE)
+    pieces = counts.select(_PIECE, (F.sum(_COUNT).over(earlier) - F.col(_COUNT)).alias(_BEFORE))
+    ranked = rows.withColumn(_RANK, F.row_number().over(Window.partitionBy(_PIECE).orderBy(*order)))
+    placed = ranked.join(pieces, _PIECE).withColumn(position, F.col(_BEFORE) + F.col(_RANK) - 1)
+    return placed.drop(_PIECE, _RANK, _BEFORE)
+
+
 def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Rows in shuffled order, with their place in ``pos``."""
     return shuffled_positions(df, key, seed, in_order=True)

@@ -9,6 +9,8 @@ from tallyframe.operators import curation as c
 from tallyframe.operators import positions as p
 from tallyframe.plans.catalog.registry import query, sql_hash
 from tallyframe.plans.dataset import build_examples
+from tallyframe.plans.lifted import gold_rows
+from tallyframe.plans.shop import shop_view
 
 _COLUMNS = [
     ("nation", "n_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"),
@@ -258,3 +260,25 @@ def _d_build(t):
         sales.withColumn("template_id", F.lit("T5"))
     )
     return build_examples(_templates(t), params, counts)
+
+
+@query("d03_lifted_gold_rows", """
+    WITH n(value, least) AS (VALUES ('5', 5), ('12', 12), ('100000', 100000)),
+    counts AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+    SELECT 'q03' AS template, p_type AS value, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) - 1 AS pos,
+        's:' || p_name || '|n:' || cast(round_even(p_retailprice * 100, 0) AS bigint) AS cells FROM part
+    UNION ALL SELECT 'q04', v, NULL, 'n:' || 100 * (SELECT count(*) FROM customer WHERE c_mktsegment = v)
+        FROM (SELECT DISTINCT c_mktsegment AS v FROM customer UNION ALL SELECT 'NOWHERE')
+    UNION ALL SELECT 'q16', value, row_number() OVER (PARTITION BY value ORDER BY n DESC, o_custkey) - 1, 's:' || c_name || '|n:' || n * 100
+        FROM counts JOIN n ON counts.n > least JOIN customer ON c_custkey = o_custkey""")
+def _d03_gold(t):
+    """Expected rows of three templates for all values of their parameters."""
+    shop = shop_view(t, t.spark)
+    kinds = t["part"].select(F.col("p_type").alias("value")).distinct()
+    tiers = t["customer"].select(F.col("c_mktsegment").alias("value")).unionByName(t.spark.sql("SELECT 'NOWHERE' AS value"))
+    numbers = t.spark.sql("SELECT value FROM VALUES ('5'), ('12'), ('100000') AS v(value)")
+    parts = [
+        gold_rows(shop, name, values).select(F.lit(name).alias("template"), "value", "pos", F.array_join("cells", "|").alias("cells"))
+        for name, values in (("q03", kinds), ("q04", tiers), ("q16", numbers))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
