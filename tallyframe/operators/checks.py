@@ -143,7 +143,7 @@ def check_tables(tables: Mapping[str, DataFrame], rules: Mapping[str, Rules]) ->
             own.append(mark(space(name), slots[name], F.col(column), F.col(column).isNotNull()))
             found.append((f"{table}.{column} references {rules[parent].primary_key[0]}", space(name), f"lost_{slots[name]}"))
         if own:
-            marks.append(tables[table].select(F.explode(F.array_compact(F.array(*own))).alias("m")).select("m.*"))
+            marks.append(tables[table].select(F.explode(F.array(*own)).alias("m")).where("m IS NOT NULL").select("m.*"))
 
     used = range(max([*slots.values(), 0]) + 1)
     owners = F.count_if(F.col("slot") < 0).alias("owners")

@@ -25,18 +25,29 @@ _ADAPTIVE = {
 _FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def tune(spark: SparkSession) -> SparkSession:
+# What a shuffle partition may hold on average before small ones are merged.
+PARTITION_BYTES = 128 << 20
+
+
+def tune(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
     """Turn on run-time re-planning, skew splitting included.
 
     Where the cluster has more cores than shuffle partitions, shuffles start
     with three partitions per core; small ones are merged again at run time.
+    ``shuffled_bytes`` is the size of the largest shuffle to come, where it is
+    known: shuffles then start with a partition for each ``PARTITION_BYTES`` of it
+    if those are more, so that a partition fits in memory at any size.
     """
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
     cores = spark.sparkContext.defaultParallelism
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if cores > partitions and spark.conf.get(_FIRST_PARTITIONS, None) is None:
-        spark.conf.set(_FIRST_PARTITIONS, str(3 * cores))
+    known = int(spark.conf.get(_FIRST_PARTITIONS, None) or 0)
+    wanted = 3 * cores if cores > partitions and not known else 0
+    if shuffled_bytes is not None:
+        wanted = max(wanted, -(-shuffled_bytes // PARTITION_BYTES))
+    if wanted > max(known, partitions if shuffled_bytes is not None else 0):
+        spark.conf.set(_FIRST_PARTITIONS, str(wanted))
     return spark
 
 

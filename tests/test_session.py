@@ -1,6 +1,6 @@
 """Settings and the shared folder."""
 
-from tallyframe.session import scratch_path, shared_dir, stored, tune
+from tallyframe.session import PARTITION_BYTES, scratch_path, shared_dir, stored, tune
 
 
 def test_skew_splitting_is_on(spark):
@@ -21,3 +21,17 @@ def test_stored_keeps_rows_and_schema(spark):
     kept = stored(df, "kept")
     assert kept.dtypes == df.dtypes
     assert sorted(map(tuple, kept.collect())) == [(1, None), (2, "b")]
+
+
+def test_partitions_for_large_shuffles(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        tune(spark, shuffled_bytes=1 << 20)  # fits in what there is
+        assert spark.conf.get(key, None) == before
+        tune(spark, shuffled_bytes=100 << 40)
+        assert spark.conf.get(key) == str((100 << 40) // PARTITION_BYTES)
+        tune(spark)  # what was set stays
+        assert spark.conf.get(key) == str((100 << 40) // PARTITION_BYTES)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
