@@ -1,25 +1,59 @@
-"""Relational division: who is paired with every needed value."""
+"""Relational division: who is paired with every needed value.
+
+Needed values are numbered, and what a key has is a bitmap: the row (key, word,
+bits) tells which of 64 numbers it has. Bitmaps merge by a bitwise or, on the map
+side as well, so repeated pairs cost nothing and no pair is made distinct. A key
+with few values costs a row each, as the pairs did; one with a third of all pairs
+has a row per 64 needed values and map task, dealt by word to many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.positions import shuffled_positions
 
-def divide(
-    candidates: DataFrame, pairs: DataFrame, needed: DataFrame, key: str, value: str, covered: bool = False
-) -> DataFrame:
-    """Candidates whose ``pairs`` cover all of ``needed``; with nothing needed,
-    all of them.
+_SEED = 0
 
-    Counts the distinct needed values per key and compares with their number,
-    so no candidate is multiplied by the needed set. ``covered`` says that
-    ``pairs`` hold no other values (nulls aside), and spares a look at them.
-    """
-    needed = needed.select(value).where(F.col(value).isNotNull()).distinct()
-    met = pairs.select(key, value)
-    met = met.where(F.col(value).isNotNull()) if covered else met.join(needed, value, "left_semi")
-    counts = met.distinct().groupBy(key).agg(F.count("*").alias("_covered"))
+
+def numbered(needed: DataFrame, value: str) -> DataFrame:
+    """(value, ordinal): the different values from 0, nulls left out. The numbers
+    follow the values' hashes, so they are the same whenever a task runs again."""
+    known = needed.select(value).where(F.col(value).isNotNull()).distinct()
+    return shuffled_positions(known, value, _SEED, position="ordinal")
+
+
+def bitmaps(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, word, bits) of ``pairs`` (key, ordinal)."""
+    marked = pairs.select(
+        key,
+        F.shiftright("ordinal", 6).alias("word"),
+        F.expr("shiftleft(1L, CAST(ordinal & 63 AS INT))").alias("bits"),
+    )
+    return merged(marked, key)
+
+
+def merged(maps: DataFrame, key: str) -> DataFrame:
+    """Bitmaps (key, word, bits) put together by ``key``."""
+    return maps.groupBy(key, "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def holders(candidates: DataFrame, maps: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """Candidates whose bitmaps are full; with nothing in ``needed`` (as from
+    ``numbered``), all of them."""
+    counts = maps.groupBy(key).agg(F.sum(F.bit_count("bits")).alias("_covered"))
     total = needed.agg(F.count("*")).scalar()
     full = F.coalesce(F.col("_covered"), F.lit(0)) == total
     return candidates.join(counts, key, "left").where(full).drop("_covered")
+
+
+def divide(candidates: DataFrame, pairs: DataFrame, needed: DataFrame, key: str, value: str) -> DataFrame:
+    """Candidates whose ``pairs`` cover all of ``needed``; with nothing needed,
+    all of them. Null values are neither needed nor met, null keys meet nothing.
+
+    No candidate is multiplied by the needed set.
+    """
+    ordinals = numbered(needed, value)
+    met = pairs.select(key, value).join(ordinals, value)
+    return holders(candidates, bitmaps(met, key), ordinals, key)

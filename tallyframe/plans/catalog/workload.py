@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.division import divide
+from tallyframe.operators.division import bitmaps, divide, holders, merged, numbered
 from tallyframe.plans import workload as w
 from tallyframe.plans.catalog.registry import query, sql_round
 from tallyframe.plans.shop import shop_view
@@ -239,13 +239,13 @@ def _q23(t):
 def _q23_brand(t):
     shop = _shop(t)
     brands = _by_brand(t).select("product_id", F.col("category").alias("brand"))
-    # Parts become brands before the orders come in: fewer rows to shuffle.
-    items = shop["order_items"].select("order_id", "product_id").join(brands, "product_id")
-    pairs = items.select("order_id", "brand").distinct().join(
-        shop["orders"].select("order_id", "customer_id"), "order_id"
-    )
+    # Parts become numbers of brands before the orders come in.
+    numbers = numbered(brands, "brand")
+    items = shop["order_items"].select("order_id", "product_id").join(brands.join(numbers, "brand"), "product_id")
+    orders = shop["orders"].select("order_id", "customer_id")
+    bought = merged(bitmaps(items, "order_id").join(orders, "order_id"), "customer_id")
     customers = shop["customers"].select("customer_id", "name")
-    return divide(customers, pairs, brands, "customer_id", "brand", covered=True).select("name")
+    return holders(customers, bought, numbers, "customer_id").select("name")
 
 
 @query("q23_nothing_needed", """
@@ -255,6 +255,17 @@ def _q23_empty(t):
     return w.q23_bought_every_product(_shop(t, products=_by_brand(t)), "no such brand")
 
 
+@query("j09_flags_with_every_part", """
+    SELECT flag FROM (SELECT l_returnflag AS flag, count(DISTINCT l_partkey) AS n FROM lineitem
+                      WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_returnflag)
+    WHERE n = (SELECT count(DISTINCT p_partkey) FROM part)""")
+def _j09(t):
+    """Three keys that hold all rows, with as many needed values as there are parts."""
+    flags = t["lineitem"].select(F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part"))
+    parts = t["part"].select(F.col("p_partkey").alias("part"))
+    return divide(flags.select("flag").distinct(), flags, parts, "flag", "part")
+
+
 @query("q24_orders_in_year", """
     SELECT count(*) AS order_count FROM orders WHERE strftime(o_orderdate, '%Y') = '1998'""")
 def _q24(t):

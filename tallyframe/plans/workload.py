@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import in_year, like_column
-from tallyframe.operators.division import divide
+from tallyframe.operators.division import bitmaps, holders, merged, numbered
 from tallyframe.sources.tables import run
 
 Shop = Mapping[str, DataFrame]
@@ -200,12 +200,11 @@ def q22_customers_above_average_orders(shop: Shop) -> DataFrame:
 
 
 def q23_bought_every_product(shop: Shop, category: str) -> DataFrame:
-    products = shop["products"].where(F.col("category") == category).select("product_id")
-    items = shop["order_items"].select("order_id", "product_id")
-    wanted = items.join(products, "product_id", "left_semi").distinct()
+    products = numbered(shop["products"].where(F.col("category") == category), "product_id")
+    items = shop["order_items"].select("order_id", "product_id").join(products, "product_id")
     orders = shop["orders"].select("order_id", "customer_id")
-    pairs = wanted.join(orders, "order_id")
-    return divide(_names(shop), pairs, products, "customer_id", "product_id", covered=True).select("name")
+    bought = merged(bitmaps(items, "order_id").join(orders, "order_id"), "customer_id")
+    return holders(_names(shop), bought, products, "customer_id").select("name")
 
 
 # ---- dates ----

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyframe.operators import curation as c
-from tallyframe.operators.division import divide
+from tallyframe.operators.division import divide, numbered
 
 
 def test_templates_and_counts(spark):
@@ -91,3 +91,31 @@ def test_division(spark):
     assert names(needed) == ["a"]
     assert names(needed.where("v = 'x'")) == ["a", "b"]
     assert names(needed.where("v = 'none'")) == ["a", "b", "c"]
+
+
+def test_division_by_more_values_than_a_bitmap_block_holds(spark):
+    """40,000 needed values; key 1 has them all three times, key 2 lacks the last,
+    key 3 has one of them and others."""
+    needed = spark.range(40_000).selectExpr("CAST(id AS STRING) AS v")
+    all_of = spark.range(120_000).selectExpr("1L AS k", "CAST(id % 40000 AS STRING) AS v")
+    most = spark.range(39_999).selectExpr("2L AS k", "CAST(id AS STRING) AS v")
+    rest = spark.createDataFrame([(3, "7"), (3, "x"), (3, None), (None, "7")], "k long, v string")
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")], "k long, name string")
+    pairs = all_of.union(most).union(rest)
+
+    def names(divisor):
+        return sorted(r.name for r in divide(people, pairs, divisor, "k", "v").collect())
+
+    assert names(needed) == ["a"]
+    assert names(needed.where("v <> '39999'")) == ["a", "b"]
+    assert names(needed.where("v = '7'").union(rest.where("v IS NULL").select("v"))) == ["a", "b", "c"]
+    assert names(needed.where("false")) == ["a", "b", "c", "d", "e"]
+    assert divide(people.where("false"), pairs, needed, "k", "v").count() == 0
+    assert divide(people, pairs.where("false"), needed, "k", "v").count() == 0
+
+
+def test_division_numbers_do_not_depend_on_the_partitioning(spark):
+    values = spark.range(500).selectExpr("CAST(id AS STRING) AS v")
+    first = {r.v: r.ordinal for r in numbered(values, "v").collect()}
+    again = {r.v: r.ordinal for r in numbered(values.union(values).repartition(7), "v").collect()}
+    assert first == again and sorted(first.values()) == list(range(500))

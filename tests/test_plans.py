@@ -115,3 +115,12 @@ def test_all_constraints_read_each_table_once(spark):
     text = _formatted(spark, df)
     assert len(re.findall(r"\) Scan parquet", text)) == 11
     assert len(re.findall(r"\) Exchange", text)) == 3  # marks, keys, one row of sums
+
+
+@pytest.mark.parametrize("name", ["q23_bought_every_product", "q23_bought_every_brand", "j09_flags_with_every_part"])
+def test_division_shuffles_bitmaps_not_pairs(spark, name):
+    text = _formatted(spark, CATALOG[name](spark, FOLDER))
+    assert "partial_bit_or" in text
+    merged = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(\w+#\d+L?, word", text)
+    assert merged and all("bit" in x for x in merged)
+    assert not re.search(r"count\(distinct", text)
