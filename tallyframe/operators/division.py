@@ -9,19 +9,29 @@ has a row per 64 needed values and map task, dealt by word to many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.positions import shuffled_positions
+from tallyframe.functions.hashing import order_hash
+from tallyframe.operators.positions import PIECE_ROWS, digits_for
 
 _SEED = 0
 
 
-def numbered(needed: DataFrame, value: str) -> DataFrame:
-    """(value, ordinal): the different values from 0, nulls left out. The numbers
-    follow the values' hashes, so they are the same whenever a task runs again."""
+def numbered(needed: DataFrame, value: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(value, ordinal): the different values with a number each, nulls left out.
+
+    Values are cut by leading digits of their hash into pieces of about
+    ``piece_rows`` and ranked in their piece; the upper half of a number is its
+    piece. Numbers follow the hashes, so they are the same whenever a task runs
+    again, and nothing is joined, so a small set is still seen to be small.
+    """
     known = needed.select(value).where(F.col(value).isNotNull()).distinct()
-    return shuffled_positions(known, value, _SEED, position="ordinal")
+    digits = digits_for(known.agg(F.count("*")).scalar(), piece_rows)
+    cut = known.withColumn("_hash", order_hash(_SEED, value)).withColumn("_piece", F.substr(F.col("_hash"), F.lit(1), digits))
+    rank = F.row_number().over(Window.partitionBy("_piece").orderBy("_hash", value)) - 1
+    piece = F.coalesce(F.conv("_piece", 16, 10).cast("bigint"), F.lit(0))
+    return cut.select(value, (F.shiftleft(piece, 32) + rank).alias("ordinal"))
 
 
 def bitmaps(pairs: DataFrame, key: str) -> DataFrame:
@@ -31,12 +41,7 @@ def bitmaps(pairs: DataFrame, key: str) -> DataFrame:
         F.shiftright("ordinal", 6).alias("word"),
         F.expr("shiftleft(1L, CAST(ordinal & 63 AS INT))").alias("bits"),
     )
-    return merged(marked, key)
-
-
-def merged(maps: DataFrame, key: str) -> DataFrame:
-    """Bitmaps (key, word, bits) put together by ``key``."""
-    return maps.groupBy(key, "word").agg(F.bit_or("bits").alias("bits"))
+    return marked.groupBy(key, "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def holders(candidates: DataFrame, maps: DataFrame, needed: DataFrame, key: str) -> DataFrame:

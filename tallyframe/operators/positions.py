@@ -30,7 +30,7 @@ _HASH, _GROUP, _PIECE, _RANK = "_hash", "_group", "_piece", "_rank"
 _DIGITS, _COUNT, _BEFORE, _TOTAL = "_digits", "_count", "_before", "_total"
 
 
-def _digits_for(rows: Column, piece_rows: int) -> Column:
+def digits_for(rows: Column, piece_rows: int) -> Column:
     """Hex digits that cut so many rows into pieces of about ``piece_rows``."""
     pieces = F.greatest(rows / F.lit(piece_rows), F.lit(1.0))
     return F.least(F.ceil(F.log(16.0, pieces)), F.lit(_MAX_DIGITS)).cast("int")
@@ -42,14 +42,14 @@ def _with_digits(df: DataFrame, within: tuple[str, ...], piece_rows: int) -> Dat
     grouped = df.withColumn(_GROUP, F.struct(*[F.col(c) for c in within], F.lit(0).alias("_")))
     if not within:
         total = df.agg(F.count("*")).scalar()
-        return grouped.withColumn(_DIGITS, _digits_for(total, piece_rows))
+        return grouped.withColumn(_DIGITS, digits_for(total, piece_rows))
     sizes = grouped.groupBy(_GROUP).agg(F.count("*").alias(_COUNT))
     total = sizes.agg(F.sum(_COUNT)).scalar()
     # Fewer than _MAX_BIG groups can hold more than 1/_MAX_BIG of the rows
     # each: that bounds what is broadcast.
     share = F.greatest(F.lit(float(piece_rows)), total / F.lit(float(_MAX_BIG)))
     big = sizes.where(F.col(_COUNT) > share).select(
-        _GROUP, _digits_for(F.col(_COUNT), piece_rows).alias(_DIGITS)
+        _GROUP, digits_for(F.col(_COUNT), piece_rows).alias(_DIGITS)
     )
     return grouped.join(F.broadcast(big), _GROUP, "left").na.fill(0, [_DIGITS])
 

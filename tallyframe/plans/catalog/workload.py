@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.division import bitmaps, divide, holders, merged, numbered
+from tallyframe.operators.division import bitmaps, divide, holders, numbered
 from tallyframe.plans import workload as w
 from tallyframe.plans.catalog.registry import query, sql_round
 from tallyframe.plans.shop import shop_view
@@ -239,11 +239,11 @@ def _q23(t):
 def _q23_brand(t):
     shop = _shop(t)
     brands = _by_brand(t).select("product_id", F.col("category").alias("brand"))
-    # Parts become numbers of brands before the orders come in.
+    # Parts become numbers of brands before the items come in.
     numbers = numbered(brands, "brand")
     items = shop["order_items"].select("order_id", "product_id").join(brands.join(numbers, "brand"), "product_id")
     orders = shop["orders"].select("order_id", "customer_id")
-    bought = merged(bitmaps(items, "order_id").join(orders, "order_id"), "customer_id")
+    bought = bitmaps(items.join(orders, "order_id"), "customer_id")
     customers = shop["customers"].select("customer_id", "name")
     return holders(customers, bought, numbers, "customer_id").select("name")
 

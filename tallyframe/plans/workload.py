@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.values import in_year, like_column
-from tallyframe.operators.division import bitmaps, holders, merged, numbered
+from tallyframe.operators.division import bitmaps, holders, numbered
 from tallyframe.sources.tables import run
 
 Shop = Mapping[str, DataFrame]
@@ -203,7 +203,7 @@ def q23_bought_every_product(shop: Shop, category: str) -> DataFrame:
     products = numbered(shop["products"].where(F.col("category") == category), "product_id")
     items = shop["order_items"].select("order_id", "product_id").join(products, "product_id")
     orders = shop["orders"].select("order_id", "customer_id")
-    bought = merged(bitmaps(items, "order_id").join(orders, "order_id"), "customer_id")
+    bought = bitmaps(items.join(orders, "order_id"), "customer_id")
     return holders(_names(shop), bought, products, "customer_id").select("name")
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyframe.operators import curation as c
-from tallyframe.operators.division import divide, numbered
+from tallyframe.operators.division import bitmaps, divide, holders, numbered
 
 
 def test_templates_and_counts(spark):
@@ -119,3 +119,13 @@ def test_division_numbers_do_not_depend_on_the_partitioning(spark):
     first = {r.v: r.ordinal for r in numbered(values, "v").collect()}
     again = {r.v: r.ordinal for r in numbered(values.union(values).repartition(7), "v").collect()}
     assert first == again and sorted(first.values()) == list(range(500))
+
+
+def test_division_by_values_in_many_pieces(spark):
+    values = spark.range(500).selectExpr("id AS v")
+    ordinals = numbered(values, "v", piece_rows=10)
+    rows = [r.ordinal for r in ordinals.collect()]
+    assert len(set(rows)) == 500 and len({r >> 32 for r in rows}) > 50 and max(r & 0xFFFFFFFF for r in rows) < 64
+    pairs = spark.range(1000).selectExpr("id % 2 AS k", "id DIV 2 AS v").where("NOT (k = 1 AND v = 77)").join(ordinals, "v")
+    people = spark.range(2).selectExpr("id AS k")
+    assert [r.k for r in holders(people, bitmaps(pairs, "k"), ordinals, "k").collect()] == [0]
