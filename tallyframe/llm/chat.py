@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, SAYS, END = "<|turn|>", "\n<|says|>", "\n<|end|>"
@@ -56,6 +56,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _said(formatted: str) -> Column:
+    """The text of one formatted turn up to its end mark, after its role, as it was before escaping."""
+    kept = F.substr(F.col(formatted), F.lit(1), F.length(formatted) - len(END))
+    return F.regexp_replace(kept, rf"\\(\\*)({_CONTROL})", "$1$2")
+
+
 def render(role: str, text: str) -> str:
     """One turn, escaped if and only if it would not be read back as it is."""
     for change in (lambda s: s, escape):
@@ -131,7 +137,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield _batch(done)
 
     return (
-        formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+        formatted.repartition("conv_id").withColumn("_said", _said("formatted"))
+        .sortWithinPartitions("conv_id", "turn", "role", "_said")
         .select("conv_id", "formatted", "loss")
         .mapInArrow(digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     )

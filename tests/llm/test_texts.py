@@ -201,6 +201,14 @@ def test_chat_rows(spark, cases):
     assert chat.read_back(chat.formatted_turns(frame.where("false"))).count() == 0
 
 
+def test_chat_ties_follow_the_text_and_not_its_escaped_form(spark):
+    texts = ["A", "</s>x", "\\</s>x", "A\t", "A\n", "", None, "[INST]", "\\\\[INST]", "Z", "é", "A"]
+    frame = spark.createDataFrame([(1, 0, "user", x) for x in texts], "conv_id bigint, turn bigint, role string, text string")
+    told = "".join(f"user\n{x}\n" for x in sorted(x or "" for x in texts))
+    row = chat.read_back(chat.formatted_turns(frame.repartition(3))).collect()[0]
+    assert row["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and row["n_turns"] == len(texts)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b.c", "@", "@", ".", "_", "-", "1", "22", "1.2.3.4", "+1", " ", "é", "(", "%"]), max_size=14).map("".join))
 def test_base_spans_equal_the_patterns(text):
