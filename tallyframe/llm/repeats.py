@@ -148,7 +148,8 @@ def _cut(found: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(row, n_removed, spans, kept_bytes) of the rows of ``docs`` that have a
-    byte string of ``length`` bytes which also starts anywhere else in the corpus.
+    byte string of ``length`` bytes which also starts anywhere else in the corpus;
+    one row for all copies of an id and text.
 
     ``row`` is xxhash64(doc_id, text). Spans are maximal runs of removed bytes,
     ends exclusive. Matches never cross rows, may overlap, and are judged on the
@@ -171,8 +172,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     kinds = marks.select("row", "place", F.col("whole").cast("int").alias("kind")).union(
         examples.select("m.row", "m.place", F.lit(2))
     )
-    by_row = kinds.groupBy("row").agg(F.collect_list(F.struct("place", "kind")).alias("marks"))
-    affected = stored(by_row.join(rows, "row").select("row", "text", "marks"), "affected")
+    # Copies of a row share its marks and one of them stands for all: its entries
+    # are repeated already, so only lone edges are still to be looked up.
+    by_row = kinds.groupBy("row").agg(F.collect_set(F.struct("place", "kind")).alias("marks"))
+    one_each = by_row.join(rows, "row").select("row", "text", "marks").dropDuplicates(["row"])
+    affected = stored(one_each, "affected")
     again = (
         _windows(affected, length, (0, 2)).select("window").groupBy("window")
         .agg(F.count("*").alias("n")).where("n > 1").select("window")
@@ -196,7 +200,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     )
     cut = repeated_spans(docs, length).select(
         "row", "n_removed", "spans", F.sha2("kept_bytes", 256).alias("cut_sha256")
-    ).dropDuplicates(["row"])
+    )
     zero = F.lit(0).cast("bigint")
     return base.join(cut, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),

@@ -66,6 +66,17 @@ def test_repeats(spark, cases, length):
     assert got(repeats.without_repeats(frame, length).drop("spans")) == sorted(plain_repeats(rows, length), key=repr)
 
 
+def test_repeats_in_many_copies_of_a_row(spark):
+    """Copies of an id and text are cut once; an edge held against them is still found."""
+    text = " ".join(f"word{i}" for i in range(450))
+    part = "own start " * 3 + text[700:1500] + " own end"
+    rows = [(1, text)] * 600 + [(2, part), (3, "x" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert repeats.repeated_spans(frame).count() == 2
+    found = repeats.without_repeats(frame).select("doc_id", "n_bytes", "n_removed", "n_spans").groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count()
+    assert got(found) == [(1, len(text), len(text), 1, 600), (2, len(part), 800, 1, 1), (3, 300, 0, 0, 1)]
+
+
 def test_repeats_of_nothing(nothing):
     assert repeats.without_repeats(nothing).count() == 0
 
