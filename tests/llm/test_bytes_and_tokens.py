@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tallyframe.llm import packing, repeats, token_files, tokens
 from tallyframe.session import scratch_path
@@ -40,6 +40,32 @@ def test_encoder_equals_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_asks_the_library_once_a_batch(reference):
+    """Distinct runs of white space too go to the library together with all other words."""
+    texts = [f"it's{' ' * k}a{k}\n{chr(9) * k}b\u3000{k}'ll" for k in range(1, 200)] + ["", None, "'s", "<|endoftext|>", "\x00\xad\n"]
+    encoder, calls = tokens.Encoder(PATH), []
+    library = encoder._tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(library, name)
+
+    encoder._tokenizer = Counted()
+    for times in (1, 1):  # the second time every word is known
+        ids, first = encoder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [reference(x) for x in texts]
+        assert len(calls) == times
+
+
+def test_encoder_needs_a_byte_level_vocabulary(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "prefix.json"))
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens.Encoder(str(tmp_path / "prefix.json"))
+
+
 def plain_repeats(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
