@@ -92,6 +92,17 @@ def test_repeats(spark, cases, length):
     assert got(repeats.without_repeats(frame, length).drop("spans")) == sorted(plain_repeats(rows, length), key=repr)
 
 
+def test_passages_in_two_documents(spark):
+    """Passages of over 50 words count from 400 bytes on; other documents are left alone."""
+    own = [" ".join(f"{k}own{i}" for i in range(90)) for k in range(6)]
+    long, short = " ".join(f"passage{i}" for i in range(60)), " ".join(f"w{i}" for i in range(60))
+    assert len(long) >= 400 > len(short)
+    texts = [f"{own[0]}/{long}/{own[0][::-1]}", f"{long}|{own[1]}", f"{own[2]}/{short}/", f"{short}|{own[3]}", own[4], own[5]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.without_repeats(frame).collect()}
+    assert rows == {i: (len(t), *((len(long), 1) if i < 2 else (0, 0))) for i, t in enumerate(texts)}
+
+
 def test_repeats_in_many_copies_of_a_row(spark):
     """Copies of an id and text are cut once; an edge held against them is still found."""
     text = " ".join(f"word{i}" for i in range(450))
