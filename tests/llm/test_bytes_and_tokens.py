@@ -103,6 +103,18 @@ def test_passages_in_two_documents(spark):
     assert rows == {i: (len(t), *((len(long), 1) if i < 2 else (0, 0))) for i, t in enumerate(texts)}
 
 
+def test_bytes_of_a_passage_decide(spark):
+    """Of passages of over 50 words, 400 bytes in fewer letters go, 399 bytes stay."""
+    own = [" ".join(f"{k}own{i}" for i in range(90)) for k in range(4)]
+    words = [" ".join(f"{k}é{i}" for i in range(55)) for k in "ab"]
+    gone, stays = (w + "x" * (size - len(w.encode())) for w, size in zip(words, (400, 399)))
+    assert (len(gone.encode()), len(stays.encode())) == (400, 399) and len(gone) < 399
+    rows = list(enumerate([f"{own[0]}/{gone}/{own[0][::-1]}", f"{gone}|{own[1]}", f"{own[2]}/{stays}/", f"{stays}|{own[3]}"]))
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).drop("spans")
+    assert got(found) == sorted(plain_repeats(rows, 400), key=repr)
+    assert [(r[2], r[3]) for r in sorted(got(found))] == [(400, 1), (400, 1), (0, 0), (0, 0)]
+
+
 def test_repeats_in_many_copies_of_a_row(spark):
     """Copies of an id and text are cut once; an edge held against them is still found."""
     text = " ".join(f"word{i}" for i in range(450))
